@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from orelode.llm.bpe import op6_bpe
 from orelode.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from orelode.llm.fingerprints import op2_fingerprints
+from orelode.llm.packing import op3_packing
+from orelode.llm.token_output import op5_token_output
 from orelode.llm.url_filter import OP9_SQL, op9_url_filter
 
 
@@ -11,6 +14,9 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op3_packing": op3_packing,
+        "op5_token_output": op5_token_output,
+        "op6_bpe": op6_bpe,
         "op9_url_filter": op9_url_filter,
     }
 
