@@ -5,6 +5,7 @@ from __future__ import annotations
 from orelode.llm.bpe import op6_bpe
 from orelode.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from orelode.llm.fingerprints import op2_fingerprints
+from orelode.llm.langid import op4_language_id
 from orelode.llm.packing import op3_packing
 from orelode.llm.token_output import op5_token_output
 from orelode.llm.url_filter import OP9_SQL, op9_url_filter
@@ -15,6 +16,7 @@ def queries():
         "op1_exact_dedup": op1_exact_dedup,
         "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
         "op5_token_output": op5_token_output,
         "op6_bpe": op6_bpe,
         "op9_url_filter": op9_url_filter,
