@@ -6,6 +6,7 @@ from orelode.llm.bpe import op6_bpe
 from orelode.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from orelode.llm.fingerprints import op2_fingerprints
 from orelode.llm.langid import op4_language_id
+from orelode.llm.near_dedup import op8_near_dedup
 from orelode.llm.packing import op3_packing
 from orelode.llm.pii import op10_pii_surrogates
 from orelode.llm.token_output import op5_token_output
@@ -20,6 +21,7 @@ def queries():
         "op4_language_id": op4_language_id,
         "op5_token_output": op5_token_output,
         "op6_bpe": op6_bpe,
+        "op8_near_dedup": op8_near_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_pii_surrogates": op10_pii_surrogates,
     }
