@@ -74,8 +74,9 @@ def with_next(docs: DataFrame, sketch: str, k: int = K) -> DataFrame:
     they are spread; only each block's first row is looked up from the block before. Null ids come first, together.
     """
     block = F.coalesce(F.floor(F.col("doc_id") / IDS).cast("bigint"), F.lit(-(2**62)))
-    dealt = docs.select("doc_id", "text").withColumn("block", block)
-    heads = dealt.groupBy("block").agg(F.min("doc_id").alias("head_id"))
+    # Texts are dealt once, for both uses below, and sketches are made after that: they don't compress.
+    dealt = docs.select("doc_id", "text").withColumn("block", block).repartition("block")
+    heads = docs.select("doc_id").withColumn("block", block).groupBy("block").agg(F.min("doc_id").alias("head_id"))
     wide = F.floor(F.col("block") / (1 << 16))
     heads = heads.withColumn("wide", wide)
     inner = Window.partitionBy("wide").orderBy("block")

@@ -9,6 +9,7 @@ from orelode.llm.langid import op4_language_id
 from orelode.llm.near_dedup import op8_near_dedup
 from orelode.llm.packing import op3_packing
 from orelode.llm.pii import op10_pii_surrogates
+from orelode.llm.suffix_dedup import op7_suffix_dedup
 from orelode.llm.token_output import op5_token_output
 from orelode.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -21,6 +22,7 @@ def queries():
         "op4_language_id": op4_language_id,
         "op5_token_output": op5_token_output,
         "op6_bpe": op6_bpe,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_pii_surrogates": op10_pii_surrogates,
