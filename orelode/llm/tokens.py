@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = re.compile(r"\s")
+_ODD = re.compile(r"[^\S \n]|[^ ]\n|\n[ \n]|\n$|  | $")  # in words joined by spaces: white space that isn't a word's first line feed
 _RARE = re.compile("[^\x00-\u024f]")  # left to the library, whose character classes count
 
 
@@ -61,7 +62,7 @@ class Encoder:
         """ids of distinct words one after another, where each begins (and the end), and which have unsafe white space."""
         unsafe = np.zeros(len(words), dtype=bool)
         joined = " " + " ".join(words)
-        if len(joined.split()) != len(words) or _RARE.search(joined):
+        if _ODD.search(joined) or _RARE.search(joined):
             unsafe = np.array([not w or w == "\n" or bool(_SPACE.search(w, w[:1] == "\n") or _RARE.search(w)) for w in words], dtype=bool)
             words = [w for w, odd in zip(words, unsafe, strict=True) if not odd]
             joined = " " + " ".join(words) if words else ""
