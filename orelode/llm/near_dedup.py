@@ -21,12 +21,14 @@ from orelode.llm.fingerprints import resemblance
 from orelode.llm.tokens import batches_of
 
 WORDS, PERCENT = 5, 75
-K = 64  # retained values of a class
+K = 96  # retained values of a class
 POSTED = 16  # of which so many, the smallest, are posted in inverted lists
 LONG_LIST = 48  # classes in a list that still makes all its pairs
 FEW = 12  # a class with fewer posted values in short lists posts all that it retains
-ESTIMATE = 0.48  # a link of 0.75 is estimated lower once in some millions: 5 standard deviations at 64 values
-ROUNDS, STARS = 3, 3
+ESTIMATE = 0.55  # a link of 0.75 is estimated lower once in some hundred thousands: over 4.5 standard deviations at 96 values
+ROUNDS, STARS = 2, 3
+HOT = 6  # hot values, the smallest, that a class made of hot values nearly alone is compared by
+BLOCK = 256  # classes of a hot list that are compared at once
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,6 +118,37 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _near_in_block(rows: pa.Table) -> pa.Table:
+    """Pairs of an outer and another class of a block, in different components, that their union's sketch lets be links.
+
+    A pair is taken in the list of its smallest common hot value only, and two outer ones once.
+    """
+    data = rows.select(["v", "outer", "inner", "cid", "root"]).to_pydict()
+    v = data["v"][0] if data["v"] else None
+    cid, root, outer, inner = np.array(data["cid"]), np.array(data["root"]), np.array(data["outer"], dtype=bool), np.array(data["inner"], dtype=bool)
+    top = np.iinfo(np.int64).max
+    sketch = np.full((len(cid), K), top)
+    for i, x in enumerate(rows["sketch"].to_pylist()):
+        sketch[i, : len(x)] = x
+    hot = rows["hv"].to_pylist()
+    there = np.flatnonzero(~outer)
+    out: list[tuple] = []
+    for y in np.flatnonzero(outer).tolist():
+        some = there[(root[there] != root[y]) & (inner[there] | (cid[there] > cid[y]))]
+        if not len(some):
+            continue
+        union = np.sort(np.concatenate([sketch[some], np.broadcast_to(sketch[y], (len(some), K))], axis=1), axis=1)
+        new = np.concatenate([np.ones((len(some), 1), dtype=bool), union[:, 1:] != union[:, :-1]], axis=1) & (union != top)
+        rank = np.cumsum(new, axis=1)
+        both = (~new & (union != top) & (rank <= K)).sum(1)
+        like = both / np.maximum(1, np.minimum(K, rank[:, -1]))
+        for x, value in zip(some[like >= ESTIMATE].tolist(), like[like >= ESTIMATE].tolist(), strict=True):
+            if min(set(hot[x]) & set(hot[y])) == v:
+                out.append((min(cid[x], cid[y]), max(cid[x], cid[y]), value))
+    a, b, like = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "like": pa.array(like, pa.float64())})
+
+
 class NearDuplicates:
     """Links between the classes of one table; the steps share the tables that they write."""
 
@@ -138,6 +171,8 @@ class NearDuplicates:
         self.rest = cut(rest, "rest")
         common = self.rest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST).select("v").union(hot).distinct()
         self.common = cut(common, "common")
+        smallest = Window.partitionBy("cid").orderBy("v")
+        self.hot = cut(posted.join(self.heavy, "cid", "left_semi").join(hot, "v", "left_semi").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= HOT).select("cid", "v"), "heavy-hot")
         second = self.rest.join(self.common, "v", "left_anti").select("cid", "v")
         lists = first.union(second).distinct().groupBy("v").agg(F.sort_array(F.collect_list("cid")).alias("l")).where(F.size("l") > 1)
         pairs = (lists.select("l", F.posexplode("l").alias("i", "a")).select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")))
@@ -201,9 +236,10 @@ class NearDuplicates:
 
         Some rounds compare each such class with a few leaders of its hot lists that lie in other components, which joins
         large groups of near copies by a number of pairs that grows with the group only. Then, for every hot list, each
-        class outside the list's largest component meets all classes of the list in other components, so none is left out.
+        class outside the list's largest component is compared, block by block, with all classes of the list in other
+        components, so none is left out.
         """
-        hot = self.rest.join(self.common, "v", "left_semi")
+        hot = self.hot
         for turn in range(ROUNDS):
             lead = hot.groupBy("v").agg(F.min_by("cid", F.xxhash64("cid", "v", F.lit(turn))).alias("b"))
             some = hot.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("v", F.lit(turn))))).where(F.col("r") <= STARS)
@@ -216,12 +252,17 @@ class NearDuplicates:
         roots = found.select(F.col("node").alias("cid"), "root")
         placed = cut(hot.join(roots, "cid", "left").select("v", "cid", F.coalesce("root", "cid").alias("root")), "placed")
         share = placed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = share.groupBy("v").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("v", F.col("x.root").alias("main"))
-        inside = placed.join(largest, "v")
-        outer = inside.where("root <> main").select("v", F.col("cid").alias("a"), F.col("root").alias("ra"))
-        pairs = outer.join(inside.select("v", F.col("cid").alias("b"), F.col("root").alias("rb"), "main"), "v")
-        pairs = pairs.where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        more = self.confirmed(self.estimated(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), texts)
+        lists = share.groupBy("v").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n")).where("roots > 1")
+        lists = lists.select("v", F.col("x.root").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ins"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("int").alias("outs"))
+        rows = placed.join(lists, "v").join(self.classes.select("cid", "sketch"), "cid")
+        rows = rows.join(hot.groupBy("cid").agg(F.sort_array(F.collect_list("v")).alias("hv")), "cid")
+        outer = F.col("root") != F.col("main")
+        mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+        fields = ["cid", "root", "sketch", "hv"]
+        one = rows.select("v", mine("ins").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), F.lit(False).alias("outer"), (F.col("root") == F.col("main")).alias("inner"), *fields)
+        two = rows.where(outer).select("v", F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"), mine("outs").alias("o"), F.lit(True).alias("outer"), F.lit(False).alias("inner"), *fields)
+        pairs = one.union(two).groupBy("v", "i", "o").applyInArrow(_near_in_block, "a bigint, b bigint, like double")
+        more = self.confirmed(cut(pairs.distinct(), "blocked"), texts)
         return found if more.isEmpty() else components(links.union(more))
 
     def judged(self) -> DataFrame:
@@ -230,9 +271,9 @@ class NearDuplicates:
         owner = owner.select("digest", "least", F.coalesce("root", "cid").alias("root"))
         smallest = owner.groupBy("root").agg(F.min("least").alias("component_id"))
         owner = cut(owner.join(smallest, "root").select("digest", "component_id"), "owners")
-        rows = self.rows.select("doc_id", "n_shingles", "digest")
-        some = rows.where("n_shingles > 0").join(owner, "digest").select("doc_id", "n_shingles", "component_id")
-        none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        rows = self.rows.select("doc_id", "text_hash", "n_shingles", "digest")
+        some = rows.where("n_shingles > 0").join(owner, "digest").select("doc_id", "text_hash", "n_shingles", "component_id")
+        none = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
         return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -243,13 +284,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS)
     links, of non-null ones. Texts without words, and null, have an empty set and only themselves. Repeated rows share all.
     A null doc_id is kept only if its whole component is null. Other columns are not read.
     """
-    return NearDuplicates(docs, percent, width).judged()
+    return NearDuplicates(docs, percent, width).judged().drop("text_hash")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs without near copies, all columns: of each component the document with the smallest doc_id."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_")), "left_anti")
+    gone = NearDuplicates(docs.select("doc_id", "text")).judged().where("not kept")
+    gone = gone.select(F.col("doc_id").alias("gone_"), F.col("text_hash").alias("gone_hash_")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_")) & (F.xxhash64(text_or_empty()) == F.col("gone_hash_")), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
