@@ -40,6 +40,6 @@ def tag_pages(pages: DataFrame, chapters: DataFrame) -> DataFrame:
     c = chapters.select(F.col("source").alias("s_"), "ord", "item", "title", "page_start", "page_end")
     both = p.select("source", "page", "row_").join(c, (F.col("source") == F.col("s_")) & (F.col("page_start") <= F.col("page")) & (F.col("page") > 0), "left")
     inside = F.col("page_end").isNull() | (F.col("page") <= F.col("page_end"))
-    rank = F.when(F.col("ord").isNull(), F.struct(F.lit(2), F.lit(0))).when(inside, F.struct(F.lit(0), F.col("ord"))).otherwise(F.struct(F.lit(1), -F.col("ord")))
+    rank = F.struct(F.when(F.col("ord").isNull(), 2).when(inside, 0).otherwise(1).alias("kind"), F.when(inside, F.col("ord")).otherwise(-F.col("ord")).alias("at"))
     best = both.groupBy("row_").agg(F.min_by(F.struct("item", "title"), rank).alias("t"))
     return best.select("row_.*", F.coalesce("t.item", F.lit(0)).alias("ni_item"), F.coalesce("t.title", F.lit("")).alias("section_title"))

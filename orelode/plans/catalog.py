@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orelode.plans import portfolio_queries, text_queries
+
+ALL = {**text_queries.QUERIES, **portfolio_queries.QUERIES}
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return text_queries.hybrid(spark, sf_dir)
