@@ -137,7 +137,7 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each part, which of its windows of `length` bytes start anywhere else in the parts."""
     text = b"".join(parts)
-    sizes = np.array([len(p) for p in parts])
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
     ends = np.cumsum(sizes)
     valid = np.arange(len(text)) + length <= np.repeat(ends, sizes)
     order = suffix_order(text, length + 8)
