@@ -62,3 +62,52 @@ def playbook_flags(flags: Column, answer: Column, most: int = 8) -> Column:
 def sources_once(sources: DataFrame, keys: list[str]) -> DataFrame:
     """The first of each key by pos."""
     return sources.withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).where("r_ = 1").drop("r_")
+
+
+# Where no rule matches, the items of each topic whose words the question contains.
+TOPICS = [
+    (["resource", "tonnage", "measured", "indicated", "inferred"], [14, 10]),
+    (["reserve", "proven", "probable"], [15, 16]),
+    (["geolog", "deposit", "mineralization", "mineralisation"], [7, 8]),
+    (["economic", "npv", "irr", "payback"], [22, 21, 19]),
+    (["environment", "permit", "esg", "closure"], [20]),
+    (["conclusion", "recommendation", "go", "no-go", "no go"], [25, 26, 1]),
+]
+
+
+def topic_items(text: Column, topics=TOPICS, default: list[int] = (1, 25)) -> Column:
+    """Sorted items of all topics that the text touches, by parts of words; else the default."""
+    low = normalise(text)
+    none = F.array().cast("array<int>")
+    found = F.flatten(F.array(*(F.when(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(low, w)), F.array(*(F.lit(i) for i in items))).otherwise(none) for words, items in topics)))
+    return F.array_sort(F.array_distinct(F.when(F.size(found) == 0, F.array(*(F.lit(i) for i in default))).otherwise(found)))
+
+
+def with_topics(routed_questions: DataFrame, questions: DataFrame) -> DataFrame:
+    """Routed questions in which topics stand in for rules where none matched."""
+    q = questions.select("id", topic_items(F.col("text")).alias("topics"))
+    primary = F.when(F.size("matched") == 0, F.col("topics")).otherwise(F.col("primary_items"))
+    return routed_questions.join(q, "id").select("id", primary.alias("primary_items"), F.array_except("cross_items", primary).alias("cross_items"), "matched")
+
+
+def matrix_of_items(matrices: DataFrame) -> DataFrame:
+    """item, ord: the first matrix (ord, key like "14-15", ...) whose key names an item."""
+    numbers = F.filter(F.transform(F.split(F.replace("key", F.lit(" "), F.lit("")), "-"), lambda x: x.try_cast("int")), lambda n: n.isNotNull())
+    return matrices.select("ord", F.explode(numbers).alias("item")).groupBy("item").agg(F.min("ord").alias("ord"))
+
+
+def playbooks(wanted: DataFrame, items: DataFrame, matrices: DataFrame) -> DataFrame:
+    """id, playbook from wanted (id, pos, item), items (item, title, question, gather) and matrices (ord, key, lines).
+
+    Each item has its head lines; its matrix's lines follow where the matrix comes first, and an item whose matrix has come
+    already has no blank line after it.
+    """
+    rows = wanted.join(items, "item", "left").join(matrix_of_items(matrices), "item", "left").join(matrices.select("ord", "lines"), "ord", "left")
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "ord").orderBy("pos")))
+    head = F.when(F.col("title").isNotNull(), F.filter(F.array(
+        F.concat(F.lit("## Item "), F.col("item").cast("string"), F.lit(": "), "title"), F.concat(F.lit("DD question: "), F.coalesce("question", F.lit(""))),
+        F.when(F.size("gather") > 0, F.concat(F.lit("Gather: "), F.array_join("gather", "; ")))), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    body = F.when(F.col("ord").isNull(), F.array(F.lit(""))).when(F.col("turn") == 1, F.concat("lines", F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("id", "pos", F.concat(head, body).alias("part"))
+    joined = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x.part)), "\n")
+    return rows.groupBy("id").agg(F.regexp_replace(joined, r"^\s+|\s+$", "").alias("playbook"))
