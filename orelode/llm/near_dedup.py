@@ -27,7 +27,7 @@ LONG_LIST = 48  # classes in a list that still makes all its pairs
 FEW = 12  # a class with fewer posted values in short lists posts all that it retains
 ESTIMATE = 0.55  # a link of 0.75 is estimated lower once in some hundred thousands: over 4.5 standard deviations at 96 values
 ROUNDS, STARS = 2, 3
-HOT = 6  # hot values, the smallest, that a class made of hot values nearly alone is compared by
+HOT = 7  # values, the smallest, by which classes made of hot values nearly alone are compared; linked ones share none once in 16,000 times
 BLOCK = 256  # classes of a hot list that are compared at once
 P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,8 +171,8 @@ class NearDuplicates:
         self.rest = cut(rest, "rest")
         common = self.rest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST).select("v").union(hot).distinct()
         self.common = cut(common, "common")
-        smallest = Window.partitionBy("cid").orderBy("v")
-        self.hot = cut(posted.join(self.heavy, "cid", "left_semi").join(hot, "v", "left_semi").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= HOT).select("cid", "v"), "heavy-hot")
+        some = self.classes.join(self.heavy, "cid", "left_semi").select("cid", F.explode(F.slice("sketch", 1, HOT)).alias("v"))
+        self.hot = cut(some.join(hot, "v", "left_semi").select("cid", "v"), "heavy-hot")
         second = self.rest.join(self.common, "v", "left_anti").select("cid", "v")
         lists = first.union(second).distinct().groupBy("v").agg(F.sort_array(F.collect_list("cid")).alias("l")).where(F.size("l") > 1)
         pairs = (lists.select("l", F.posexplode("l").alias("i", "a")).select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")))
