@@ -169,7 +169,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 BLOCK = 400_000  # bytes whose suffixes are sorted together
 KINDS = 512  # different segments of one anchor that are still sorted together
-STEP = 16  # windows that hot segments are dealt by
+STEP = 8  # windows that hot segments are dealt by
 
 
 class Repeats:
@@ -178,12 +178,12 @@ class Repeats:
     def __init__(self, docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR):
         with_workers(docs.sparkSession)
         self.length, self.anchor = length, min(anchor, length)
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.sha2("text", 256))
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
 
     def segments(self) -> DataFrame:
         """Where each segment is: key, h1, h2 (its bytes), doc_id, th, start, windows."""
         length, anchor = self.length, self.anchor
-        schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.string()), ("start", pa.int32()), ("windows", pa.int32())])
+        schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from orelode.llm.tokens import batches_of
@@ -198,7 +198,7 @@ class Repeats:
                     yield pa.RecordBatch.from_arrays([_as_long(key), _as_long(h1), _as_long(h2), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start, pa.int32()), pa.array(count, pa.int32())], schema=schema)
 
         docs = self.docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text")
-        return docs.mapInArrow(run, "key bigint, h1 bigint, h2 bigint, doc_id bigint, th string, start int, windows int")
+        return docs.mapInArrow(run, "key bigint, h1 bigint, h2 bigint, doc_id bigint, th bigint, start int, windows int")
 
     def sorted_parts(self, parts: DataFrame) -> DataFrame:
         """key, h1, h2, runs of repeated windows, from the bytes of segments, dealt by key."""
@@ -235,7 +235,8 @@ class Repeats:
         """For segments of hot anchors: blocks of windows with what all windows of a block share, and each window's hash.
 
         Windows are dealt by their distance to the anchor, STEP distances to a block. Equal windows have equal distances, so
-        they fall into blocks with an equal shared core; blocks whose core occurs once are done without a look at windows.
+        they fall into blocks with an equal shared core; blocks whose core occurs once, and equal blocks, are done without a
+        look at windows.
         """
         length, anchor = self.length, self.anchor
         schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("core", pa.string()), ("at", pa.int32()), ("hashes", pa.list_(pa.string()))])
@@ -267,11 +268,15 @@ class Repeats:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         blocks = cut(parts.select("key", "h1", "h2", "data").mapInArrow(run, "key bigint, h1 bigint, h2 bigint, core string, at int, hashes array<string>"), "blocks")
+        blocks = blocks.withColumn("content", F.md5(F.array_join("hashes", ",")))
         again = blocks.groupBy("key", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "core")
-        windows = blocks.join(again, ["key", "core"]).select("key", "h1", "h2", F.posexplode("hashes").alias("i", "w"), "at")
-        twice = windows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "w")
-        single = windows.join(twice, ["key", "w"]).select("key", "h1", "h2", (F.col("at") + F.col("i")).alias("p"))
-        return single.groupBy("key", "h1", "h2").agg(F.flatten(F.sort_array(F.collect_list(F.array("p", F.col("p") + 1)))).alias("runs"))
+        blocks = cut(blocks.join(again, ["key", "core"]), "cores")
+        same = blocks.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("hashes").alias("hashes"))
+        twice = same.select("key", "n", F.explode("hashes").alias("w")).groupBy("key", "w").agg(F.sum("n").alias("n")).where("n > 1").select("key", "w")
+        whole = blocks.join(same.where("n > 1").select("key", "content"), ["key", "content"]).select("key", "h1", "h2", F.array("at", F.col("at") + F.size("hashes")).alias("r"))
+        lone = blocks.join(same.where("n = 1").select("key", "content"), ["key", "content"]).select("key", "h1", "h2", "at", F.posexplode("hashes").alias("i", "w"))
+        lone = lone.join(twice, ["key", "w"]).select("key", "h1", "h2", F.array(F.col("at") + F.col("i"), F.col("at") + F.col("i") + 1).alias("r"))
+        return whole.union(lone).groupBy("key", "h1", "h2").agg(F.flatten(F.sort_array(F.collect_list("r"))).alias("runs"))
 
     def spans(self) -> DataFrame:
         """doc_id, th, spans: where windows that occur elsewhere start, as (first, past the last) in turn, for each text."""
