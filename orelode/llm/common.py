@@ -42,16 +42,6 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables that cut() has written, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for parent in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 

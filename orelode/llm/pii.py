@@ -131,8 +131,12 @@ class Surrogates:
         return "".join(next(new) if c.isdigit() else c for c in text)
 
     def iban(self, text: str) -> str:
-        """Country and check letters stay in place; the account's figures and letters keep their class."""
-        return self._letters("iban", text, lambda c: LETTERS if c in LETTERS else DIGITS if c in DIGITS else None, {0, 1})
+        """The country stays; the account's figures and letters keep their class, and the check figures are made to fit."""
+        bare = text.replace(" ", "")
+        body = self._letters(f"iban|{bare[:2]}", bare[4:], lambda c: LETTERS if c in LETTERS else DIGITS if c in DIGITS else None)
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{bare[:2]}00")) % 97
+        new = iter(f"{bare[:2]}{check:02d}{body}")
+        return "".join(c if c == " " else next(new) for c in text)
 
     def secret(self, text: str) -> str:
         if re.fullmatch(r"[0-9a-f]+", text):

@@ -67,6 +67,8 @@ def test_surrogates_are_distinct_and_stable():
     assert s.of("email", "BOB.1@Mail.com").lower() == s.of("email", "bob.1@mail.com")
     card = s.of("card", "4041894974608795")
     assert luhn(card) and card == s.of("card", "4041-8949-7460-8795").replace("-", "") != "4041894974608795"
+    account = s.of("iban", "DE89 3704 0044 0532 0130 00")
+    assert pii.iban_ok(account) and account != "DE89 3704 0044 0532 0130 00" and account.replace(" ", "") == s.of("iban", "DE89370400440532013000")
     assert s.of("name", "Анна") != "Анна" and s.of("name", "Анна")[-1] == "а"
     text, n = replace_all("Version 3.0, CC BY-NC 4.0, on 2024-05-05 at 12:30, 4041894974608796 and 1.2.3.4.5", s)
     assert text.startswith("Version 3.0, CC BY-NC 4.0, on 2024-05-05 at 12:30, 4041894974608796") and not any(n.values())
