@@ -28,7 +28,6 @@ FEW = 12  # a class with fewer posted values in short lists posts all that it re
 ESTIMATE = 0.55  # a link of 0.75 is estimated lower once in some hundred thousands: over 4.5 standard deviations at 96 values
 ROUNDS, STARS = 2, 3
 HOT = 7  # values, the smallest, by which classes made of hot values nearly alone are compared; linked ones share none once in 16,000 times
-COLD = 0.4  # part of retained values in short lists from which these lists suffice: a link between such classes shares one in all but some 1e-8 cases
 BLOCK = 1024  # classes of a hot list that are compared at once
 P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,9 +171,7 @@ class NearDuplicates:
         self.rest = cut(rest, "rest")
         common = self.rest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST).select("v").union(hot).distinct()
         self.common = cut(common, "common")
-        cold = self.rest.join(self.common, "v", "left_anti").groupBy("cid").agg(F.count(F.lit(1)).alias("cold"))
-        some = self.classes.join(self.heavy, "cid", "left_semi").join(cold, "cid", "left").where(F.coalesce("cold", F.lit(0)) < COLD * F.size("sketch"))
-        some = some.select("cid", F.explode(F.slice("sketch", 1, HOT)).alias("v"))
+        some = self.classes.join(self.heavy, "cid", "left_semi").select("cid", F.explode(F.slice("sketch", 1, HOT)).alias("v"))
         self.hot = cut(some.join(hot, "v", "left_semi").select("cid", "v"), "heavy-hot")
         second = self.rest.join(self.common, "v", "left_anti").select("cid", "v")
         lists = first.union(second).distinct().groupBy("v").agg(F.sort_array(F.collect_list("cid")).alias("l")).where(F.size("l") > 1)
@@ -235,7 +232,7 @@ class NearDuplicates:
         return self._hot_links(links, found, texts) if some_hot else found
 
     def _hot_links(self, links: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links among classes of which most retained values are hot; the others have enough short lists.
+        """Links among classes with few posted values in short lists, however many of the other retained ones are.
 
         Some rounds compare each such class with a few leaders of its hot lists that lie in other components, which joins
         large groups of near copies by a number of pairs that grows with the group only. Then, for every hot list, each

@@ -67,6 +67,15 @@ def test_hot_groups_match_brute_force(spark, monkeypatch):
     check(spark, [(i * 3, t) for i, t in enumerate(texts)])
 
 
+def test_a_tail_of_unshared_values_does_not_hide_a_link(spark, monkeypatch):
+    """43 of the 96 retained values of the second text are in its tail; all of the bare template's are hot."""
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 6)
+    template = prose(400, 1200)
+    texts = [template, f"{template} {prose(10832, 392)}"] + [f"{template} {prose(500 + i, 660)}" for i in range(40)]
+    assert [c for _, _, c, _ in brute(list(enumerate(texts)))].count(0) == 2
+    check(spark, list(enumerate(texts)))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
