@@ -2,6 +2,8 @@ import json
 import math
 import random
 import re
+from html import unescape
+from html.entities import html5
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -83,6 +85,18 @@ def test_tables(spark):
     assert one(spark, html.split_tables(F.col("t")), t="<table>no rows</table>") == (None, "no rows")
 
 
+def test_all_entities_are_decoded(spark):
+    """Against html.unescape: every named reference, with and without its semicolon, and numeric ones."""
+    names = [f"&{n}" for n in html5] + ["&copy;", "&middot", "&#169;", "&#xA9", "&#128;", "&#0;", "&unknown;", "&amp;lt;", "&notit;"]
+    pages = [f"<p>a{n}\tb</p> {n}" for n in names] + [None]
+    plain = lambda t: re.sub(r"[ \t]+", " ", unescape(re.sub(r"<[^>]+>", " ", t.replace("</p>", "\n")))).strip()
+    cell = lambda t: re.sub(r"\s+", " ", unescape(t)).strip().replace("|", "\\|")
+    df = spark.createDataFrame([(i, p, None if p is None else f"<table><tr><td>x{n}y</td></tr></table>") for i, (p, n) in enumerate(zip(pages, [*names, ""], strict=True))], "i int, p string, t string")
+    found = {r.i: r for r in df.select("i", html.html_text(F.col("p")).alias("p"), html.split_tables(F.col("t")).alias("t")).collect()}
+    assert [found[i].p for i in range(len(pages))] == [None if p is None else plain(p) for p in pages]
+    assert [found[i].t.tables for i in range(len(names))] == [f"| {cell(f'x{n}y')} |\n| --- |" for n in names]
+
+
 def test_benchmark_outliers(spark):
     df = spark.createDataFrame([("f", "a", 0.2, False), ("f", "b", 0.3, False), ("f", "t", 0.5, True), ("g", "a", 1.0, False), ("g", "t", 1.0, True), ("h", "t", 4.0, True)], "field string, source_file string, value double, is_target boolean")
     found = {r.field: (r["count"], r.low, r.high, r.outliers) for r in peers.benchmark(df).collect()}
