@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from common import empty, odd, odd_rows, prose
 from pyspark.sql import functions as F
@@ -74,6 +76,14 @@ def test_surrogates_are_distinct_and_stable():
     assert text.startswith("Version 3.0, CC BY-NC 4.0, on 2024-05-05 at 12:30, 4041894974608796") and not any(n.values())
 
 
+def test_each_rule_passes_the_prefilter_alone():
+    words = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "API-KEY", "PWD", "\u017fecret"]
+    texts = [f"{w} = correcthorse" for w in words] + [f"{t} Smith" for t in pii.TITLES]
+    texts += ["AKIA" + "Q" * 16, "ASIA" + "Q" * 16, "ghp_" + "a" * 30, "sk-" + "a" * 20, "sk_" + "a" * 20, "a@b.org", "8.8.8.8", "+49 30 1234567", "+\u0664\u0669 \u0663\u0660 \u0661\u0662\u0663\u0664"]
+    assert all(len(pii.entities(t)) == 1 for t in texts)
+    assert pc.match_substring_regex(pa.array(texts), pii.MAYBE, ignore_case=True).to_pylist() == [True] * len(texts)
+
+
 def test_pseudonymise_keeps_rows_and_columns(spark):
     found = pii.pseudonymise(odd(spark).withColumn("n_ip", F.lit("clash")))
     assert found.count() == len(odd_rows())
