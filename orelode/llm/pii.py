@@ -10,7 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,8 +32,8 @@ CLASSES = [
     "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåæ", "èéêë", "ìíîï", "òóôöõø", "ùúûü", "çčćñńšśžźßł",
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ",
 ]
-CLASS_OF = {c: (k, i) for k in CLASSES for i, c in enumerate(k)}
 DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+SIGNS = "!#$%&()*+-./:<=>?@[\\]^_`{|}~"  # of secrets without letters and digits
 
 # Titles before names and the gender that they tell; the title stays, and so does a given name's last letter.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Don": "m", "Doña": "f"}
@@ -46,6 +50,39 @@ PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?
 NAME = re.compile(r"\b(" + "|".join(TITLES) + r")(\.? )((?:[^\W\d_a-z][^\W\d_]+)(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")
 
 
+def _plain(c: str) -> str:
+    """A letter's lower-case form, if case can be put back without loss; otherwise the letter itself."""
+    low = c.lower()
+    return low if len(low) == 1 and low.upper() == c else c
+
+
+@lru_cache(1)
+def _class_of() -> dict[str, str]:
+    """For every letter in its plain form the class that it is shifted in: one of CLASSES, or by script and case.
+
+    Letters that would be alone in their class join Latin ones, so none lacks a partner.
+    """
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    listed = {c: k for k in CLASSES for c in k}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c.isalnum() and not c.isdecimal() and _plain(c) == c:
+            paired = len(c.upper()) == 1 and c.upper() != c and _plain(c.upper()) == c
+            groups[(listed[c], True) if paired and c in listed else (unicodedata.name(c, "").split(" ")[0].split("-")[0], paired, c.isupper())].append(c)
+    for key in [k for k, members in groups.items() if len(members) == 1]:
+        groups["LATIN", key[1], False] += groups.pop(key)
+    classes = ["".join(m) for m in groups.values()]
+    return {c: k for k in classes for c in k}
+
+
+def letters_of(c: str) -> str | None:
+    return _class_of().get(c)
+
+
+def digits_of(c: str) -> str | None:
+    """The ten digits of the script of a digit."""
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + i) for i in range(10)) if c.isdecimal() else None
+
+
 class Surrogates:
     """Keyed surrogates. Values that differ only in case or separators count as one entity."""
 
@@ -84,38 +121,45 @@ class Surrogates:
                 out.append(d)
         return out[::-1]
 
-    def _letters(self, kind: str, text: str, classes: Callable[[str], str | None], fixed: set[int] = frozenset()) -> str:
-        """Shift the characters that have a class, in a canonical form without case; all others stay."""
+    def _letters(self, kind: str, text: str, classes: Callable[[str], str | None], fixed: set[int] = frozenset(), firm: set[int] = frozenset()) -> str:
+        """Shift the characters that have a class, in a canonical form without case; all others stay.
+
+        Those at `fixed` stay too, but where nothing else can be shifted, only those of them that are `firm` do.
+        """
         places, digits, radixes, alphabets = [], [], [], []
         for i, c in enumerate(text):
-            if i not in fixed and (alphabet := classes(c.lower())):
+            if i not in fixed and (alphabet := classes(_plain(c))):
                 places.append(i)
-                digits.append(alphabet.index(c.lower()))
+                digits.append(alphabet.index(_plain(c)))
                 radixes.append(len(alphabet))
                 alphabets.append(alphabet)
+        if not places and fixed - firm:
+            return self._letters(kind, text, classes, firm, firm)
         rigid = "".join(c.lower() for i, c in enumerate(text) if i not in set(places) and (c.isalnum() or i in fixed))
         new = list(text)
         for i, d, alphabet in zip(places, self.shift(f"{kind}|{rigid}", digits, radixes), alphabets, strict=True):
-            new[i] = alphabet[d].upper() if text[i].isupper() else alphabet[d]
+            new[i] = alphabet[d].upper() if _plain(text[i]) != text[i] else alphabet[d]
         return "".join(new)
 
     def email(self, text: str) -> str:
         """Letters and digits of the local part and of the domain, but for the top level and a reserved `example`."""
         local, _, domain = text.rpartition("@")
         labels = domain.split(".")
-        at, fixed = len(local) + 1, set()
+        at, fixed, firm = len(local) + 1, set(), set()
         for i, label in enumerate(labels):
             if i == len(labels) - 1 or label.lower() == "example":
                 fixed |= set(range(at, at + len(label)))
+            if i < len(labels) - 1 and label.lower() == "example":
+                firm |= set(range(at, at + len(label)))
             at += len(label) + 1
-        return self._letters("email", text, lambda c: LETTERS if c in LETTERS else DIGITS if c in DIGITS else CLASS_OF.get(c, (None,))[0], fixed)
+        return self._letters("email", text, lambda c: LETTERS if c in LETTERS else digits_of(c) or letters_of(c), fixed, firm)
 
     def phone(self, text: str) -> str:
         """Digits, but for the country code and the exchange 555."""
-        fixed = set(range(*m.span())) if (m := re.match(r"\+\d{1,3}(?=\D)|\+\d", text)) else set()
+        fixed, firm = set(range(*m.span())) if (m := re.match(r"\+\d{1,3}(?=\D)|\+\d", text)) else set(), set()
         if m := re.search(r"(?<!\d)555(?!\d)", text):
-            fixed |= set(range(*m.span()))
-        return self._letters("phone", text, lambda c: DIGITS if c in DIGITS else None, fixed)
+            firm = set(range(*m.span()))
+        return self._letters("phone", text, digits_of, fixed | firm, firm)
 
     def ip(self, text: str) -> str:
         """Each octet keeps its number of figures."""
@@ -143,8 +187,14 @@ class Surrogates:
     def secret(self, text: str) -> str:
         if re.fullmatch(r"[0-9a-f]+", text):
             return self._letters("hex", text, lambda c: HEX if c in HEX else None)
-        places = [i for i, c in enumerate(text) if c in DIGITS or c.lower() in LETTERS]
-        sets = [DIGITS if text[i] in DIGITS else LETTERS.upper() if text[i].isupper() else LETTERS for i in places]
+        sets = {}
+        for i, c in enumerate(text):
+            if c in DIGITS or c in LETTERS or c in LETTERS.upper():
+                sets[i] = DIGITS if c in DIGITS else LETTERS if c in LETTERS else LETTERS.upper()
+            elif alphabet := digits_of(c) or letters_of(_plain(c)):
+                sets[i] = alphabet if _plain(c) == c else alphabet.upper()
+        sets = sets or {i: SIGNS for i, c in enumerate(text) if c in SIGNS}
+        places, sets = list(sets), list(sets.values())
         new = list(text)
         for i, s, d in zip(places, sets, self.shift("secret", [s.index(text[i]) for i, s in zip(places, sets, strict=True)], [len(s) for s in sets]), strict=True):
             new[i] = s[d]
@@ -152,7 +202,7 @@ class Surrogates:
 
     def name(self, text: str) -> str:
         """Word by word, so that a family name alone matches the full name; script, case, length and last letter stay."""
-        return re.sub(r"[^\W\d_]+", lambda m: self._letters("name", m[0], lambda c: CLASS_OF.get(c, (None,))[0], {len(m[0]) - 1}), text)
+        return re.sub(r"[^\W\d_]+", lambda m: self._letters("name", m[0], letters_of, {len(m[0]) - 1}), text)
 
     def of(self, kind: str, text: str) -> str:
         if (new := self.known.get((kind, text))) is None:

@@ -1,5 +1,7 @@
 import hashlib
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -84,6 +86,23 @@ def test_each_rule_passes_the_prefilter_alone():
     assert pc.match_substring_regex(pa.array(texts), pii.MAYBE, ignore_case=True).to_pylist() == [True] * len(texts)
 
 
+def test_no_entity_of_any_script_stays():
+    s = Surrogates(b"k")
+    names = ["王小明", "田中", "タナカ", "김철수", "محمد علي", "משה כהן", "สมชาย", "Ořechová", "Kovács Győző", "Erdoğan", "Ionăscu", "Анна", "Σας", "Գրիգոր", "გიორგი", "µx", "Ⅷx", "ßa", "ǅa"]
+    values = {"name": names, "email": [f"{n.split()[0]}@example.com" for n in names] + ["__@example.com"], "secret": [n * 6 for n in names] + ["!!!!!!"],
+              "phone": ["+\u0664\u0669 \u0663\u0660 \u0661\u0662\u0663\u0664", "+49 555"]}
+    for kind, texts in values.items():
+        new = [s.of(kind, t) for t in texts]
+        assert all(a != b and len(a) == len(b) for a, b in zip(texts, new, strict=True)) and len(set(new)) == len(new)
+    for n in names[:15]:  # each word changes, and each letter keeps its script and case
+        for a, b in zip(n.split(), s.of("name", n).split(), strict=True):
+            assert a != b and [(unicodedata.name(c).split()[0].split("-")[0], c.isupper()) for c in a] == [(unicodedata.name(c).split()[0].split("-")[0], c.isupper()) for c in b]
+    text, n = replace_all("Dr. 王小明, Mr محمد علي", s)
+    assert n["name"] == 2 and not any(w in text for w in ("王小", "محمد", "علي"))
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal()]
+    assert all(len(pii.letters_of(pii._plain(c)) or "") > 1 for c in letters)
+
+
 def test_pseudonymise_keeps_rows_and_columns(spark):
     found = pii.pseudonymise(odd(spark).withColumn("n_ip", F.lit("clash")))
     assert found.count() == len(odd_rows())
