@@ -21,7 +21,6 @@ from orelode.llm.tokens import batches_of
 UNKNOWN = "und"
 SAMPLE = 1500  # training documents of each language, about; the bound of what the model is fitted on
 LEXICON = 40_000  # most frequent words of each language in that sample
-LONGEST = 8  # letters of a piece
 ROUNDS = 3
 LETTERS_CUT = 64  # words are scored in runs of so many letters, all of them
 MARK = "▁"
@@ -35,12 +34,12 @@ def default_vocabulary() -> str:
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lower-cased pieces of letters, perhaps after the mark of a word's begin; at most LONGEST characters."""
+    """Lower-cased pieces of letters, perhaps after the mark of a word's begin, of any length."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and (p == MARK or p.lstrip(MARK).isalpha() and MARK not in p[1:])})
+    return sorted({p for p in pieces if p == MARK or p.lstrip(MARK).isalpha() and MARK not in p[1:]})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,13 +54,14 @@ def words_of(texts: pa.Array) -> pa.Array:
 class Lattice:
     """Words of one length as arrays, and the piece (or -1) that each of their parts is."""
 
-    def __init__(self, words: list[str], hashes: np.ndarray):
+    def __init__(self, words: list[str], hashes: np.ndarray, longest: int):
         n = len(words[0])
+        self.longest = longest
         self.letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(-1, n).T.astype(np.uint64)
         self.n, self.count, self.parts = n, len(words), {}
         for i in range(n):
             code = np.zeros(self.count, dtype=np.uint64)
-            for stop in range(i + 1, min(n, i + LONGEST) + 1):
+            for stop in range(i + 1, min(n, i + longest) + 1):
                 code = code * PRIME + self.letters[stop - 1]
                 at = np.minimum(np.searchsorted(hashes, code), len(hashes) - 1)
                 self.parts[i, stop] = np.where(hashes[at] == code, at, -1)
@@ -82,7 +82,7 @@ def forward(lattice: Lattice, probs: np.ndarray, single: np.ndarray) -> list[np.
     alpha = [np.ones((lattice.count, probs.shape[1]))]
     for stop in range(1, lattice.n + 1):
         total = np.zeros_like(alpha[0])
-        for i in range(max(0, stop - LONGEST), stop):
+        for i in range(max(0, stop - lattice.longest), stop):
             part = lattice.parts[i, stop]
             p = probs[part]
             if stop == i + 1:  # a letter that is no piece has a small probability of its own
@@ -108,7 +108,7 @@ class Model:
         order = np.argsort(piece_hash(pieces), kind="stable")
         self.languages, self.pieces, self.hashes = languages, [pieces[i] for i in order], piece_hash(pieces)[order]
         self.probs = np.vstack([probs[order], np.zeros((1, len(languages)))])
-        self.single = single
+        self.single, self.longest = single, max(map(len, pieces), default=1)
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
@@ -120,8 +120,9 @@ class Model:
         seen = np.zeros((len(words), len(languages)))
         for word, language, number in counts:
             seen[place[word], column[language]] += number
-        texts = [MARK + w[:LETTERS_CUT] for w in words]
-        runs = [(run, Lattice([texts[i] for i in run], model.hashes)) for run in by_length(texts)]
+        cut = [(i, (MARK + w)[j : j + LETTERS_CUT]) for i, w in enumerate(words) for j in range(0, len(w) + 1, LETTERS_CUT)]
+        seen, texts = seen[[i for i, _ in cut]], [t for _, t in cut]
+        runs = [(run, Lattice([texts[i] for i in run], model.hashes, model.longest)) for run in by_length(texts)]
         for _ in range(rounds):
             expected = np.zeros_like(model.probs)
             letters = np.zeros(len(languages))
@@ -131,7 +132,7 @@ class Model:
                 scale = seen[run] / np.maximum(alpha[-1], 1e-300)
                 for i in range(lattice.n - 1, -1, -1):
                     total = np.zeros_like(alpha[0])
-                    for stop in range(i + 1, min(lattice.n, i + LONGEST) + 1):
+                    for stop in range(i + 1, min(lattice.n, i + lattice.longest) + 1):
                         part = lattice.parts[i, stop]
                         p = model.probs[part]
                         if stop == i + 1:
@@ -160,7 +161,7 @@ class Model:
         if texts:
             owner = np.array(owner)
             for run in by_length(texts):
-                value = np.log(np.maximum(forward(Lattice([texts[i] for i in run], self.hashes), self.probs, self.single)[-1], 1e-300))
+                value = np.log(np.maximum(forward(Lattice([texts[i] for i in run], self.hashes, self.longest), self.probs, self.single)[-1], 1e-300))
                 np.add.at(out, owner[run], value)
         return out
 

@@ -58,6 +58,15 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(model.score_words([word])[0, 0], np.log(total("▁" + word)))
 
 
+def test_long_pieces_and_tails_of_long_words_inform_the_model():
+    vocabulary = langid.vocabulary(langid.default_vocabulary())
+    assert max(map(len, vocabulary)) > 8
+    pieces = ["a", "b", "▁a", "abcdefghijkl"]
+    model = langid.Model.fit([("a" * 80 + "b" * 20, "x", 5), ("abcdefghijkl", "y", 5)], pieces)
+    p = {piece: model.probs[i] for i, piece in enumerate(model.pieces)}
+    assert p["b"][0] > 10 * p["b"][1] and p["abcdefghijkl"][1] > 10 * p["abcdefghijkl"][0]
+
+
 def test_surrogates_are_distinct_and_stable():
     s = Surrogates(b"k")
     emails = [f"user{i}.x@mail{i % 3}.example.com" for i in range(300)]
