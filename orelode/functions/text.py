@@ -82,9 +82,15 @@ def overlap(text: Column, words: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.contains(low, w)))
 
 
+# What a short greeting or thanks consists of, but for marks after it, and how long it can be.
+GREETINGS, GREETING_MARKS, GREETING_LENGTH = ["hi", "hello", "hey", "thanks", "thank you", "bye", "goodbye", "ok", "okay"], "!.?", 50
+
+
 def is_greeting(c: Column) -> Column:
-    t = strip(F.lower(c))
-    return (F.length(t) <= 50) & F.rlike(t, F.lit(r"^(hi|hello|hey|thanks|thank you|thx|ok|okay|good (morning|afternoon|evening))\b[\s!.,]*$"))
+    """A short greeting or thanks and nothing else; null is none."""
+    whole = strip(F.lower(c))
+    bare = F.regexp_replace(whole, rf"[\s{GREETING_MARKS}]+$", "")
+    return F.coalesce((F.length(whole) <= GREETING_LENGTH) & bare.isin(GREETINGS), F.lit(False))
 
 
 def _fixed(c: Column, places: int) -> Column:
@@ -96,8 +102,22 @@ def tonnes_text(v: Column) -> Column:
             .when(v >= 1e3, F.concat(_fixed(v / 1e3, 1), F.lit(" kt"))).otherwise(F.concat(_fixed(v, 0), F.lit(" t"))))
 
 
+def short_tonnes_text(v: Column) -> Column:
+    """As tonnes_text(), in megatonnes with two places at most."""
+    return (F.when(v.isNull(), "—").when(v >= 1e6, F.concat(_fixed(v / 1e6, 2), F.lit(" Mt"))).when(v >= 1e3, F.concat(_fixed(v / 1e3, 1), F.lit(" kt")))
+            .otherwise(F.concat(_fixed(v, 0), F.lit(" t"))))
+
+
+def _unit(unit: Column) -> Column:
+    return F.when(F.coalesce(unit, F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), unit))
+
+
+def grade_text(v: Column, unit: Column) -> Column:
+    return F.when(v.isNull(), "—").otherwise(F.concat(_fixed(v, 2), _unit(unit)))
+
+
 def amount_text(v: Column, unit: Column) -> Column:
-    tail = F.when(F.coalesce(unit, F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), unit))
+    tail = _unit(unit)
     return F.when(v.isNull(), "—").otherwise(F.concat(F.when(v >= 1e6, F.concat(_fixed(v / 1e6, 3), F.lit("M"))).when(v >= 1e3, F.concat(_fixed(v / 1e3, 1), F.lit("K"))).otherwise(_fixed(v, 0)), tail))
 
 
@@ -133,14 +153,19 @@ def commodity(c: Column) -> Column:
 
 # Labels of project stages.
 STAGES = {"operating": "Operating", "construction": "Construction", "feasibility": "Feasibility", "prefeasibility": "Pre-Feasibility", "pea": "PEA", "care": "Care & Maintenance", "exploration": "Exploration"}
+# In order, a stage and the parts of a text that tell it; a text with one of the last parts isn't of that stage.
+STAGE_PARTS = [("operating", ["operating", "produc"], []), ("construction", ["construction"], []), ("feasibility", ["feasibility"], ["pre"]), ("prefeasibility", ["pre-feasib", "prefeasib"], []),
+               ("pea", ["pea", "preliminary econ"], []), ("care", ["care", "maintenance"], []), ("exploration", ["exploration", "grassroots", "resource def"], [])]
+
+
+def has_any(c: Column, parts: list[str]) -> Column:
+    """Whether the text contains one of the parts."""
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(x)) for x in parts), F.lit(False))
 
 
 def stage_key(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
-    has = lambda *words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
-    return (F.when(has("operating", "produc"), "operating").when(has("construction"), "construction").when(has("feasibility") & ~has("pre"), "feasibility")
-            .when(has("pre-feasib", "prefeasib"), "prefeasibility").when(has("pea", "preliminary econ"), "pea").when(has("care", "maintenance"), "care")
-            .when(has("exploration", "grassroots", "resource def"), "exploration").otherwise("default"))
+    return F.coalesce(*(F.when(has_any(low, some) & ~has_any(low, none), key) for key, some, none in STAGE_PARTS), F.lit("default"))
 
 
 def stage(c: Column) -> Column:
@@ -148,15 +173,19 @@ def stage(c: Column) -> Column:
     return F.coalesce(*(F.when(key == k, v) for k, v in STAGES.items()), F.lit("Other"))
 
 
+# In order, a currency and the parts of an amount that tell it; the last currency is that of all others.
+CURRENCIES, OTHER_CURRENCY = {"CAD": ["c$", "cad", "canadian"], "AUD": ["a$", "aud", "australian"], "EUR": ["eur", "€", "euro"]}, "USD"
+# Words that make an amount one of thousands of millions, or of thousandths; and those that forbid each.
+BILLION, THOUSAND, NOT_BILLION, NOT_THOUSAND = r"\b(billion|bn)\b|[\d.]+\s*b\b", r"\b(thousand|k)\b", ["million", "mln"], ["million", "billion"]
+
+
 def money(c: Column) -> Column:
     """struct(value in millions, currency); US dollars unless another currency is named; no conversion."""
-    raw, low = strip(c), F.lower(strip(c))
-    currency = (F.when(F.rlike(raw, F.lit(r"(?i)C\$|CAD|canadian")), "CAD").when(F.rlike(raw, F.lit(r"(?i)A\$|AUD|australian")), "AUD")
-                .when(F.rlike(raw, F.lit("(?i)EUR|€|euro")), "EUR").otherwise("USD"))
-    number = F.nullif(F.regexp_extract(F.regexp_replace(raw, ",", ""), r"(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
-    billions = F.rlike(low, F.lit(r"\b(billion|bn)\b|[\d.]+\s*b\b")) & ~F.rlike(low, F.lit("million|mln"))
-    thousands = F.rlike(low, F.lit(r"\b(thousand|k)\b")) & ~F.rlike(low, F.lit("million|billion"))
-    value = F.when(billions, number * 1000).when(thousands, number / 1000).otherwise(number)
+    low = F.lower(strip(c))
+    currency = F.coalesce(*(F.when(has_any(low, parts), k) for k, parts in CURRENCIES.items()), F.lit(OTHER_CURRENCY))
+    number = F.regexp_extract(F.replace(low, F.lit(","), F.lit("")), r"\d+(\.\d+)?", 0).try_cast("double")
+    power = F.when(F.rlike(low, F.lit(BILLION)) & ~has_any(low, NOT_BILLION), 1000.0).when(F.rlike(low, F.lit(THOUSAND)) & ~has_any(low, NOT_THOUSAND), 0.001).otherwise(1.0)
+    value = F.when(power < 1, number / 1000).otherwise(number * power)
     known = F.coalesce(c, F.lit("")) != ""
     return F.struct(F.when(known, value).alias("value"), F.when(known, currency).alias("currency"))
 
@@ -177,10 +206,75 @@ def or_dash(c: Column, default: str = "—") -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
+# Parts of a question that ask for a decision.
+DECISION_PARTS = ["go", "no-go", "no go", "invest", "decision", "should the project be classified"]
+
+
 def assessment(question: Column, answer: Column, flags: Column) -> Column:
     """Null unless the question asks for a decision; then what the answer says, or else by the number of flags."""
-    asks = F.rlike(F.lower(question), F.lit(r"go/no-go|go no go|invest|decision|should we proceed"))
-    says = (F.when(F.rlike(answer, F.lit(r"(?i)\bno[- ]go\b")), "No-Go").when(F.rlike(answer, F.lit(r"(?i)\bconditional\b")), "Conditional Go")
-            .when(F.rlike(answer, F.lit(r"(?i)\bfurther work\b")), "Further Work").when(F.rlike(answer, F.lit(r"(?i)\bgo\b")), "Go"))
+    says = lambda pattern: F.rlike(F.lower(answer), F.lit(pattern))
+    told = (F.when(says(r"\bno-?go\b"), "No-Go").when(says(r"conditional\s+go"), "Conditional Go").when(says(r"\bfurther\s+work\b"), "Further Work")
+            .when(says(r"\bgo\b") & ~says("no-?go"), "Go"))
     by_flags = F.when(flags >= 4, "No-Go").when(flags >= 2, "Conditional Go").when(flags >= 1, "Further Work").otherwise("Go")
-    return F.when(asks, F.coalesce(says, by_flags))
+    return F.when(has_any(F.lower(question), DECISION_PARTS), F.coalesce(told, by_flags))
+
+
+def with_assessment(answer: Column, found: Column) -> Column:
+    """The answer with its assessment at the end, unless it names one."""
+    return F.when(found.isNotNull() & ~F.contains(answer, F.lit("Assessment:")), F.concat(F.regexp_replace(answer, r"\s+$", ""), F.lit("\n\n**Assessment:** "), found)).otherwise(answer)
+
+
+def assessment_class(c: Column) -> Column:
+    low = F.lower(c)
+    return (F.when(F.coalesce(c, F.lit("")) == "", "").when(has_any(low, ["no-go", "no go"]), "nogo").when(F.contains(low, F.lit("conditional")), "conditional")
+            .when(F.contains(low, F.lit("further")), "further").otherwise("go"))
+
+
+# In order, parts of a commodity's name and the colour of its marks; and that of all others.
+COLOURS = {
+    "au": "#F59E0B", "gold": "#F59E0B", "cu": "#C2410C", "copper": "#C2410C", "ag": "#9CA3AF", "silver": "#9CA3AF", "li": "#3B82F6", "lithium": "#3B82F6", "ni": "#10B981", "nickel": "#10B981",
+    "zn": "#8B5CF6", "zinc": "#8B5CF6", "pb": "#6B7280", "lead": "#6B7280", "fe": "#EF4444", "iron": "#EF4444", "co": "#06B6D4", "cobalt": "#06B6D4", "mo": "#F97316", "molybdenum": "#F97316", "u3o8": "#84CC16", "uranium": "#84CC16",
+}
+OTHER_COLOUR = "#9CA3AF"
+
+
+def commodity_colour(c: Column, colours: dict[str, str] = COLOURS, other: str = OTHER_COLOUR) -> Column:
+    """The colour of the first part that the bare name contains."""
+    bare = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return F.coalesce(*(F.when(F.contains(bare, F.lit(k)), v) for k, v in colours.items()), F.lit(other))
+
+
+def primary_grade(grades: Column, flat: Column | None = None) -> Column:
+    """The first of an estimate's grades, or `flat`, a struct of the same fields, where it has none."""
+    first = F.get(grades, F.lit(0))
+    return first if flat is None else F.when(F.size(F.coalesce(grades, F.array())) > 0, first).otherwise(flat)
+
+
+def grades_text(grades: Column) -> Column:
+    """All grades with a value, each with its commodity, between bullets."""
+    one = lambda g: F.concat(F.when(F.coalesce(g["commodity"], F.lit("")) == "", "").otherwise(F.concat(g["commodity"], F.lit(": "))), grade_text(g["grade_value"], g["grade_unit"]))
+    joined = F.array_join(F.transform(F.filter(grades, lambda g: g["grade_value"].isNotNull()), one), " • ")
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("—"))
+
+
+def joined_content(blocks: Column) -> Column:
+    """The text of an answer that comes as a list of struct(text, content): of each block the first that isn't blank."""
+    return F.array_join(F.transform(blocks, lambda b: F.coalesce(F.nullif(b["text"], F.lit("")), b["content"], F.lit(""))), "")
+
+
+def history_text(pairs: Column, most: int = 10) -> Column:
+    """The last `most` of an array of struct(question, answer) as a dialog; an empty one is "None"."""
+    last = F.slice(pairs, F.greatest(F.lit(1), F.size(pairs) - (most - 1)), most)
+    told = F.array_join(F.transform(last, lambda p: F.concat(F.lit("User: "), p["question"], F.lit("\nAssistant: "), p["answer"])), "\n\n")
+    return F.coalesce(F.nullif(told, F.lit("")), F.lit("None"))
+
+
+def chat_prompt(instruction: Column, context: Column, question: Column, history: Column | None = None) -> Column:
+    """The prompt of an answering model: a line of instruction and the parts as JSON."""
+    parts = [instruction.alias("instruction"), context.alias("context"), question.alias("question")]
+    return F.concat(F.lit("Follow the instruction and answer clearly.\n\n"), F.to_json(F.struct(*parts, *([] if history is None else [history.alias("history")])), {"pretty": "true"}))
+
+
+def answer_event(kind: str, **fields: Column) -> Column:
+    """One server-sent event with its type and fields as JSON."""
+    return F.concat(F.lit("data: "), F.to_json(F.struct(F.lit(kind).alias("type"), *(v.alias(k) for k, v in fields.items()))), F.lit("\n\n"))

@@ -52,18 +52,28 @@ def stations(surveys: DataFrame, collars: DataFrame) -> DataFrame:
 
 
 def positions(points: DataFrame, trace: DataFrame) -> DataFrame:
-    """points (hole_id, md, ...) with x, y, z on the trace; depths outside count as the nearer end. Points off any hole go."""
+    """points (hole_id, md, ...) with x, y, z on the trace; depths outside count as the nearer end. Points off any hole go.
+
+    Of a trace's segments the first that reaches the depth is joined, so each point finds one, and repeated points stay.
+    """
     w = Window.partitionBy("hole_id").orderBy("ord")
-    parts = trace.select("hole_id", F.col("ord").alias("n_"), *(F.col(c).alias(c + "1") for c in ("md", "azimuth", "dip", "x", "y", "z")), *(F.lead(c).over(w).alias(c + "2") for c in ("md", "azimuth", "dip")),
-                         F.min("md").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lo"), F.max("md").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("hi"))
-    p = points.withColumn("row_", F.struct(*points.columns)).select("hole_id", "md", "row_")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = trace.select("hole_id", F.row_number().over(w).alias("n_"), *(F.col(c).alias(c + "1") for c in ("md", "azimuth", "dip", "x", "y", "z")), *(F.lead(c).over(w).alias(c + "2") for c in ("md", "azimuth", "dip")),
+                         F.min("md").over(every).alias("lo"), F.max("md").over(every).alias("hi"))
+    parts = parts.where(F.col("md2").isNotNull() | (F.col("n_") == 1))
+    names = {"p_" + str(i): c for i, c in enumerate(points.columns)}
+    p = points.select(*(F.col(c).alias(k) for k, c in names.items()), F.col("hole_id"), F.col("md"))
     at = F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("md")))
-    both = p.join(parts, "hole_id").where((F.col("md1") <= at) & (F.coalesce("md2", F.col("md1")) >= at - 1e-9))
+    both = p.join(parts, "hole_id").where((F.coalesce("md2", F.col("md1")) >= at - 1e-9) & ((F.col("n_") == 1) | (F.col("md1") < at - 1e-9)))
     length = at - F.col("md1")
     t = F.when(F.coalesce("md2", F.col("md1")) > F.col("md1"), length / (F.col("md2") - F.col("md1"))).otherwise(0.0)
     moved = step(length, F.col("azimuth1"), F.col("dip1"), lerp_angle(F.col("azimuth1"), F.coalesce("azimuth2", "azimuth1"), t), F.col("dip1") + (F.coalesce("dip2", "dip1") - F.col("dip1")) * t)
-    placed = both.select("row_", "n_", (F.col("x1") + moved["de"]).alias("x"), (F.col("y1") + moved["dn"]).alias("y"), (F.col("z1") + moved["dz"]).alias("z"))
-    return placed.groupBy("row_").agg(F.min_by(F.struct("x", "y", "z"), "n_").alias("p_")).select("row_.*", "p_.x", "p_.y", "p_.z")
+    return both.select(*(F.col(k).alias(c) for k, c in names.items()), (F.col("x1") + moved["de"]).alias("x"), (F.col("y1") + moved["dn"]).alias("y"), (F.col("z1") + moved["dz"]).alias("z"))
+
+
+def total_depths(trace: DataFrame) -> DataFrame:
+    """hole_id, total_md: the depth of the last station, or 0."""
+    return trace.groupBy("hole_id").agg(F.coalesce(F.max_by("md", "ord"), F.lit(0.0)).alias("total_md"))
 
 
 def contacts(intervals: DataFrame) -> DataFrame:
@@ -143,7 +153,19 @@ def planes(points: DataFrame, by: str = "surface") -> DataFrame:
     return c.mapInPandas(run, f"{by} string, dip double, dip_direction double")
 
 
-def pixel_to_world(px: Column, py: Column, a1: Column, a2: Column) -> Column:
-    """struct(x, y, z) of a pixel between two anchors struct(px, py, x, y, z); null where the anchors share a pixel row or column."""
-    t, u = (px - a1.px) / F.nullif(a2.px - a1.px, F.lit(0.0)), (py - a1.py) / F.nullif(a2.py - a1.py, F.lit(0.0))
-    return F.struct((a1.x + t * (a2.x - a1.x)).alias("x"), (a1.y + t * (a2.y - a1.y)).alias("y"), (a1.z + u * (a2.z - a1.z)).alias("z"))
+def anchor_error(a1: Column, a2: Column) -> Column:
+    """Why two anchors struct(px, py, x, y, z) don't define a section; null if they do."""
+    same = lambda f: F.abs(a2.getField(f) - a1.getField(f)) < 1e-9
+    return (F.when(same("px") | same("py"), "anchors share a pixel row or column").when(same("z"), "anchors share an elevation")
+            .when(same("x") & same("y"), "anchors share a place in plan"))
+
+
+def pixel_to_world(px: Column, py: Column, a1: Column, a2: Column, strict: bool = False) -> Column:
+    """struct(x, y, z) of a pixel between two anchors: columns go along the section, rows in elevation.
+
+    Anchors with an anchor_error() give null, or end the query if strict.
+    """
+    error = anchor_error(a1, a2)
+    t, u = F.try_divide(px - a1.px, a2.px - a1.px), F.try_divide(py - a1.py, a2.py - a1.py)
+    at = F.struct((a1.x + t * (a2.x - a1.x)).alias("x"), (a1.y + t * (a2.y - a1.y)).alias("y"), (a1.z + u * (a2.z - a1.z)).alias("z"))
+    return F.when(error.isNull(), at).otherwise(F.raise_error(error).cast("struct<x:double,y:double,z:double>")) if strict else F.when(error.isNull(), at)

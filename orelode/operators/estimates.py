@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orelode.operators.peers import short_number
 
@@ -13,21 +14,45 @@ def number(c: Column) -> Column:
     return F.when(F.rlike(F.trim(c.cast("string")), F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), c.try_cast("double"))
 
 
-# The columns that each field is read from; of a list in brackets the first that is a number.
+# For each field the names it goes by, the paths it is read from, and its unit. Every inner tuple gives a value at
+# most, the first that is a number; a path in brackets stands in for the one before it where that is blank, even if it is no number.
 FIELDS = {
-    "npv": [("economics.post_tax_npv", "economics.pre_tax_npv")], "irr": [("economics.irr",)], "capex": [("economics.initial_capex", "economics.total_capex")], "opex": [("economics.opex",)],
-    "recovery": [("economics.recovery_rate",)], "dilution": [("mining_method.dilution",)], "mining_recovery": [("mining_method.mine_recovery",)],
+    ("npv", "post_tax_npv"): ([("economics.post_tax_npv", "economics.pre_tax_npv")], "economics.npv_currency", "USD"),
+    ("irr",): ([("economics.irr",)], None, "%"),
+    ("capex", "initial_capex"): ([(["economics.initial_capex", "economics.total_capex"],)], None, "USD"),
+    ("opex",): ([("economics.opex",)], None, "USD"),
+    ("recovery", "recovery_rate"): ([("economics.recovery_rate",), ("processing_method.overall_recovery", "processing.overall_recovery")], None, "%"),
+    ("dilution",): ([("mining_method.dilution_pct", "mining_method.dilution")], None, "%"),
+    ("mining_recovery",): ([("mining_method.mining_recovery_pct", "mining_method.mine_recovery")], None, "%"),
 }
+CUTOFF = ("cutoff", "cutoff_grade", "resource_cutoff")
+
+
+def at_path(reports: DataFrame, path: str, schema: T.DataType | None = None) -> Column:
+    """The column at a path as text; null where the schema has none."""
+    kind = schema or reports.schema
+    for part in path.split("."):
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return F.lit(None).cast("string")
+        kind = kind[part].dataType
+    return F.col(path).cast("string")
 
 
 def values(reports: DataFrame, field: str) -> DataFrame:
     """source_file, field, value, unit of a numeric field; cut-off grades come from resources, then reserves. Unknown fields give none."""
-    if field == "cutoff":
-        rows = reports.select("source_file", F.explode(F.concat(F.coalesce("mineral_resources", F.array()), F.coalesce("mineral_reserves", F.array()))).alias("e"))
-        return rows.select("source_file", F.lit(field).alias("field"), number(F.col("e.cut_off_grade")).alias("value"), F.lit("").alias("unit")).where("value is not null")
-    out = [F.coalesce(*(number(F.col(c)) for c in group)) for group in FIELDS.get(field, [])]
-    rows = reports.select("source_file", F.explode(F.array(*out) if out else F.array().cast("array<double>")).alias("value"))
-    return rows.where("value is not null").select("source_file", F.lit(field).alias("field"), "value", F.lit("").alias("unit"))
+    name = F.coalesce("source_file", F.lit("unknown"))
+    if field in CUTOFF:
+        kind = reports.schema["mineral_resources"].dataType.elementType
+        both = F.explode(F.concat(F.coalesce("mineral_resources", F.array()), F.coalesce("mineral_reserves", F.array())))
+        rows = reports.select(name.alias("source_file"), both.alias("e"))
+        pick = lambda *names: F.coalesce(*(F.col(f"e.{n}").cast("string") for n in names if n in kind.names), F.lit(None).cast("string"))
+        return rows.select("source_file", F.lit(field).alias("field"), number(pick("cutoff_grade", "cut_off_grade")).alias("value"), F.coalesce(pick("cutoff_unit"), F.lit("")).alias("unit")).where("value is not null")
+    groups, unit_path, unit = next((v for k, v in FIELDS.items() if field in k), ([], None, ""))
+    read = lambda p: F.coalesce(*(F.nullif(at_path(reports, x), F.lit("")) for x in p)) if isinstance(p, list) else at_path(reports, p)
+    out = [F.coalesce(*(number(read(p)) for p in group)) for group in groups]
+    unit = F.coalesce(F.nullif(at_path(reports, unit_path), F.lit("")), F.lit(unit)) if unit_path else F.lit(unit)
+    rows = reports.select(name.alias("source_file"), unit.alias("unit"), F.explode(F.array(*out) if out else F.array().cast("array<double>")).alias("value"))
+    return rows.where("value is not null").select("source_file", F.lit(field).alias("field"), "value", "unit")
 
 
 def summaries(entries: DataFrame, most: int = 8) -> DataFrame:
@@ -39,9 +64,16 @@ def summaries(entries: DataFrame, most: int = 8) -> DataFrame:
     return rows.groupBy("field").agg(F.concat(F.array_join(texts, "; "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise("")).alias("summary"))
 
 
-def scalar(*candidates: Column) -> Column:
-    """The first that is not blank, trimmed."""
-    return F.coalesce(*(F.nullif(F.trim(c.cast("string")), F.lit("")) for c in candidates))
+# The fields of a nested value that stand for it, in order.
+SCALAR_FIELDS = ["method", "name", "text", "value", "type", "deposit_type", "commodity"]
+
+
+def scalar(c: Column, kind: T.DataType) -> Column:
+    """A value as trimmed text, null if blank; a struct by the first of its named text fields that isn't blank."""
+    if isinstance(kind, T.StructType):
+        texts = [c[f] for f in SCALAR_FIELDS if f in kind.names and isinstance(kind[f].dataType, T.StringType)]
+        return F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in texts), F.lit(None).cast("string"))
+    return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
 def slim(reports: DataFrame) -> DataFrame:
@@ -50,10 +82,25 @@ def slim(reports: DataFrame) -> DataFrame:
     return reports.select("source_file", F.to_json(F.struct(*columns)).alias("document"))
 
 
+def orientation_of(text: str) -> tuple[float, float, str | None]:
+    """Dip, direction and perhaps a surface from text with commas."""
+    parts = [p.strip() for p in text.split(",")]
+    if len(parts) not in (2, 3):
+        raise ValueError("an orientation is DIP,DIRECTION or DIP,DIRECTION,SURFACE")
+    return float(parts[0]), float(parts[1]), parts[2] if len(parts) == 3 else None
+
+
+def default_surface(pile: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row, surface: the first unit of the pile (ord, unit), else the first by name of intervals (unit), else null."""
+    top = pile.where("unit <> ''").agg(F.min_by("unit", "ord").alias("a"))
+    other = intervals.where("trim(unit) <> ''").agg(F.min(F.trim("unit")).alias("b"))
+    return top.crossJoin(other).select(F.coalesce("a", "b").alias("surface"))
+
+
 def default_orientation(collars: DataFrame, surface: str, dip: float, direction: float, polarity: int = 1) -> DataFrame:
     """One orientation at the mean of all collars with an x; a missing z is 0."""
-    mean = collars.where(F.col("x").isNotNull()).agg(F.avg("x").alias("x"), F.avg(F.coalesce("y", F.lit(0.0))).alias("y"), F.avg(F.coalesce("z", F.lit(0.0))).alias("z"))
-    return mean.select(F.lit(surface).alias("surface_name"), "x", "y", "z", F.lit(dip).alias("dip"), F.lit(direction).alias("dip_direction"), F.lit(polarity).alias("polarity"))
+    mean = collars.where(F.col("x").isNotNull()).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg(F.coalesce("z", F.lit(0.0))).alias("z"))
+    return mean.select(F.lit(surface).alias("surface_name"), "x", "y", "z", F.lit(dip).alias("dip"), F.lit(direction).alias("dip_direction"), F.lit(polarity).alias("polarity"), F.lit("assumed by the user").alias("source"))
 
 
 def unit_names(pile: DataFrame, intervals: DataFrame, faults: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orelode.functions.text import norm
+from orelode.functions.text import has_any, norm
 
 # Points for each equal field.
 POINTS = {"commodity": 4, "deposit_type": 3, "country": 2, "study_stage": 1, "mining_method": 1}
@@ -72,8 +72,34 @@ def short_number(c: Column) -> Column:
     return F.when(c == 0, rounded).when((power < -4) | (power >= 4), F.concat(mantissa, F.lit("e"), exponent)).otherwise(again)
 
 
+# In order, a field and the parts of a question that mean it.
+FIELD_PARTS = {"cutoff_grade": ["cut-off", "cutoff", "cut off"], "post_tax_npv": ["npv"], "irr": ["irr"], "initial_capex": ["capex", "capital cost"], "opex": ["opex", "operating cost"],
+               "recovery_rate": ["recovery"], "dilution": ["dilution"], "mining_recovery": ["mining recovery"]}
+
+
 def inferred_field(question: Column) -> Column:
     low = F.lower(question)
-    has = lambda *words: F.greatest(*(F.contains(low, F.lit(w)) for w in words)) if len(words) > 1 else F.contains(low, F.lit(words[0]))
-    return (F.when(has("cut-off", "cutoff", "cut off"), "cutoff_grade").when(has("npv"), "npv").when(has("irr"), "irr").when(has("capex", "capital"), "capex")
-            .when(has("opex", "operating cost"), "opex").when(has("recovery"), "recovery").when(has("dilution"), "dilution"))
+    return F.coalesce(*(F.when(has_any(low, parts), name) for name, parts in FIELD_PARTS.items()))
+
+
+def descriptions(reports: DataFrame) -> DataFrame:
+    """source_file and the fields of POINTS, normalised, of report documents: a tag if it isn't blank, else what it sums up."""
+    p = F.col("property_info")
+    first_good, first_estimate = F.get(p["commodities"], F.lit(0)), F.get("mineral_resources", F.lit(0))["commodity"]
+    return reports.select("source_file", first_known(F.col("primary_commodity"), first_good, first_estimate).alias("commodity"), first_known(F.col("deposit_type"), F.col("geology.deposit_type")).alias("deposit_type"),
+                          first_known(p["country"]).alias("country"), first_known(F.col("study_stage"), p["project_stage"]).alias("study_stage"), first_known(F.col("mining_method.method")).alias("mining_method"))
+
+
+def entries(values: DataFrame, by: str = "field") -> DataFrame:
+    """Values (field, source_file, value, unit, is_target) with pos: those of peers first, by name, then the target's."""
+    order = Window.partitionBy(by).orderBy("is_target", "source_file", "value", "unit")
+    return values.withColumn("pos", F.row_number().over(order))
+
+
+def range_texts(values: DataFrame) -> DataFrame:
+    """field, text: how many peers there are and the range and median of their values; of all values if there are no peers."""
+    peer = ~F.col("is_target")
+    of = lambda f: F.coalesce(f(F.when(peer, F.col("value"))), f("value"))
+    s = values.groupBy("field").agg(F.count_if(peer).alias("n"), of(F.min).alias("low"), of(F.max).alias("high"), of(F.median).alias("median"))
+    n = lambda c: short_number(F.col(c))
+    return s.select("field", F.concat(F.lit("Field '"), "field", F.lit("': peer_n="), F.col("n").cast("string"), F.lit(", peer_range=["), n("low"), F.lit(", "), n("high"), F.lit("], peer_median="), n("median"), F.lit(".")).alias("text"))

@@ -55,8 +55,9 @@ def playbook_flags(flags: Column, answer: Column, most: int = 8) -> Column:
     """Of flags between semicolons, those whose first eight letters the answer has, if it speaks of risks at all."""
     low = F.lower(answer)
     speaks = F.rlike(low, F.lit("flag|concern|risk|issue"))
-    parts = F.filter(F.transform(F.split(flags, ";"), F.trim), lambda f: (f != "") & F.contains(low, F.lower(F.substring(f, 1, 8))))
-    return F.when(speaks, F.slice(parts, 1, most)).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(F.split(flags, ";"), lambda x: F.regexp_replace(F.trim(x), r"\.+$", ""))
+    told = F.filter(parts, lambda f: (f != "") & F.contains(low, F.lower(F.substring(F.substring_index(f, ".", 1), 1, 8))))
+    return F.when(speaks, F.slice(told, 1, most)).otherwise(F.array().cast("array<string>"))
 
 
 def sources_once(sources: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,9 +85,9 @@ def topic_items(text: Column, topics=TOPICS, default: list[int] = (1, 25)) -> Co
 
 
 def with_topics(routed_questions: DataFrame, questions: DataFrame) -> DataFrame:
-    """Routed questions in which topics stand in for rules where none matched."""
+    """Routed questions in which topics stand in for rules where none that matched has primary items."""
     q = questions.select("id", topic_items(F.col("text")).alias("topics"))
-    primary = F.when(F.size("matched") == 0, F.col("topics")).otherwise(F.col("primary_items"))
+    primary = F.when((F.size("matched") == 0) | (F.size("primary_items") == 0), F.col("topics")).otherwise(F.col("primary_items"))
     return routed_questions.join(q, "id").select("id", primary.alias("primary_items"), F.array_except("cross_items", primary).alias("cross_items"), "matched")
 
 

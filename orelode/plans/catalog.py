@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orelode.plans import drill_queries, more_queries, portfolio_queries, text_queries
+from orelode.plans import drill_queries, more_queries, portfolio_queries, record_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **portfolio_queries.QUERIES, **drill_queries.QUERIES, **more_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **portfolio_queries.QUERIES, **drill_queries.QUERIES, **more_queries.QUERIES, **record_queries.QUERIES}
 
 
 def queries():

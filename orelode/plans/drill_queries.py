@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orelode.functions import text
-from orelode.operators import drill
+from orelode.operators import assembly, drill
 from orelode.plans import relations as rel
+from orelode.sources import sinks
 
 H, I = rel.duck(rel.HOLES), rel.duck(rel.INTERVALS)  # noqa: E741
 six = lambda c: F.round(c, 6)
@@ -82,6 +83,90 @@ def contact_points(spark, d):
     return drill.positions(drill.contacts(intervals(spark, d)), traces(spark, d))
 
 
+PLACED_CTE = TRACE_CTE + """,
+k AS (SELECT *, lag(unit) OVER (PARTITION BY hole_id ORDER BY from_m, ord) AS above FROM i), p AS (SELECT hole_id, from_m AS md, unit AS surface FROM k WHERE lower(above) <> lower(unit)),
+g AS (SELECT *, lead(md) OVER w AS md2, lead(az) OVER w AS az2, lead(dip) OVER w AS dip2 FROM tr WINDOW w AS (PARTITION BY hole_id ORDER BY ord)),
+j AS (SELECT p.hole_id, p.md, surface, g.x, g.y, g.z, g.az, g.dip, p.md - g.md AS l, (p.md - g.md) / (g.md2 - g.md) AS t, az2, dip2 FROM p JOIN g ON g.hole_id = p.hole_id AND g.md < p.md AND p.md <= g.md2),
+e2 AS (SELECT *, radians(az) AS a1, radians(az + (((az2 - az + 180) % 360 + 360) % 360 - 180) * t) AS a2, radians(90 - abs(dip)) AS i1, radians(90 - abs(dip + (dip2 - dip) * t)) AS i2 FROM j),
+f2 AS (SELECT *, acos(greatest(-1, least(1, cos(i2 - i1) - sin(i1) * sin(i2) * (1 - cos(a2 - a1))))) AS b FROM e2),
+h2 AS (SELECT *, l / 2 * CASE WHEN b < 1e-9 THEN 1 ELSE 2 / b * tan(b / 2) END AS f FROM f2),
+placed AS (SELECT hole_id, md, surface, x + f * (sin(i1) * sin(a1) + sin(i2) * sin(a2)) AS x, y + f * (sin(i1) * cos(a1) + sin(i2) * cos(a2)) AS y, z - f * (cos(i1) + cos(i2)) AS z FROM h2)
+"""
+CONTACT_POINTS = f"WITH {PLACED_CTE} SELECT hole_id, md, surface, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM placed"
+
+
+def contact_places(spark, d):
+    return contact_points(spark, d).select("hole_id", "md", "surface", *(F.round(c, 5).alias(c) for c in "xyz"))
+
+
+def depths(spark, d):
+    return drill.total_depths(traces(spark, d))
+
+
+DEPTHS = f"WITH {TRACE_CTE} SELECT hole_id, max(md) AS total_md FROM tr GROUP BY hole_id"
+
+
+def model_spatial(spark, d):
+    """The tables of one model: all holes, units of an upper and a lower series, and clicks on a section."""
+    i = intervals(spark, d)
+    surveys = i.select("hole_id", "ord", F.col("from_m").alias("depth_m"), F.when(F.col("ord") % 4 != 0, F.col("azimuth")).alias("azimuth"), F.when(F.col("ord") % 11 != 0, -F.col("dip")).alias("dip"))
+    total = i.groupBy("hole_id").agg(F.max("to_m").alias("total_depth"))
+    none = F.lit(None).cast("double")
+    collars = holes(spark, d).select(F.regexp_replace("hole_id", "^H-0*(?=[0-9])", "H").alias("hole_id"), F.col("ord"), "x", "y", "z", none.alias("azimuth"), none.alias("dip")).join(total, "hole_id")
+    pile = spark.createDataFrame([("a", "Upper", 1), ("N", None, 2), ("missing", "Lower", 3)], "unit string, series string, order_top_down int")
+    given = spark.createDataFrame([(" r ", 1.0, 2.0, 3.0, 20.0, 90.0, "map"), ("A", 1.0, 2.0, None, 10.0, 90.0, None), ("other", 1.0, 2.0, 3.0, 5.0, 5.0, None)], "surface_name string, x double, y double, z double, dip double, dip_direction double, source string")
+    return assembly.Spatial(collars, surveys, i, pile, given, sinks.digitised(clicks(spark, d)).where("surface_name <> 'lone'"), spark.createDataFrame([("F1",)], "fault_name string"))
+
+
+def clicks(spark, d):
+    """Clicks on sections; every ninth has no surface, and sections have a datum or none."""
+    anchor = lambda *v: F.struct(*(F.lit(float(x)).alias(n) for n, x in zip(("px", "py", "x", "y", "z"), v, strict=True)))
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    return s.select(F.concat(F.lit("S"), (F.col("s_suppkey") % 4).cast("string")).alias("section_id"), F.when(F.col("s_suppkey") % 2 == 0, "mean sea level").alias("datum"), anchor(0, 0, 500, 800, 300).alias("a1"), anchor(100, 200, 700, 900, 100).alias("a2"),
+                    (F.col("s_suppkey") % 100).cast("double").alias("px"), (F.col("s_suppkey") % 150).cast("double").alias("py"), F.when(F.col("s_suppkey") % 9 == 0, " ").otherwise(F.concat(F.lit("Vein "), (F.col("s_suppkey") % 3).cast("string"))).alias("surface_name"))
+
+
+def digitised(spark, d):
+    return sinks.digitised(clicks(spark, d))
+
+
+DIGITISED = """
+SELECT 'S' || s_suppkey % 4 AS section_id, 'Vein ' || s_suppkey % 3 AS surface_name, CAST(500 + (s_suppkey % 100) * 2 AS DOUBLE) AS x, CAST(800 + s_suppkey % 100 AS DOUBLE) AS y, CAST(300 - s_suppkey % 150 AS DOUBLE) AS z,
+  'digitized S' || s_suppkey % 4 || CASE WHEN s_suppkey % 2 = 0 THEN ' [mean sea level]' ELSE '' END || ' px(' || CAST(s_suppkey % 100 AS DOUBLE) || ',' || CAST(s_suppkey % 150 AS DOUBLE) || '); anchors (500.0,800.0,300.0)@px(0.0,0.0) / (700.0,900.0,100.0)@px(100.0,200.0)' AS source
+FROM supplier WHERE s_suppkey % 9 > 0
+"""
+
+
+def model_series(spark, d):
+    """The surfaces of an assembled model in order, with their points and mean height."""
+    m = assembly.assemble(model_spatial(spark, d), check=False)
+    n = m.points.groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("z"), 4).alias("mean_z"))
+    return m.series.join(n, "surface").select("surface", "series", "place", "n", "mean_z")
+
+
+MODEL_SERIES = f"""WITH {PLACED_CTE}, q AS (SELECT surface, z FROM placed UNION ALL SELECT surface_name, z FROM ({DIGITISED})), n AS (SELECT surface, count(*) AS n, avg(z) AS mz FROM q GROUP BY surface HAVING count(*) >= 2)
+SELECT surface, CASE WHEN surface = 'A' THEN 'Upper' ELSE 'Strat_Series' END AS series, CAST(row_number() OVER (ORDER BY CASE surface WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END, -mz) AS INT) AS place, n, round(mz, 4) AS mean_z FROM n"""
+
+
+def model_orientations(spark, d):
+    """Given orientations on modelled surfaces, and a plane for the series without one."""
+    m = assembly.assemble(model_spatial(spark, d), check=False)
+    return m.orientations.select("surface", "source", F.round("dip_direction", 0).alias("direction")).where("source = 'map'").unionByName(m.orientations.where("source <> 'map'").select("surface", "source", F.lit(None).cast("double").alias("direction")))
+
+
+MODEL_ORIENTATIONS = f"WITH {PLACED_CTE} SELECT 'R' AS surface, 'map' AS source, CAST(90 AS DOUBLE) AS direction UNION ALL SELECT 'A', 'derived: plane fit through ' || count(*) || ' contact points', NULL FROM placed WHERE surface = 'A'"
+
+
+def model_notes(spark, d):
+    return assembly.assemble(model_spatial(spark, d), check=False).notes
+
+
+MODEL_NOTES = """
+SELECT 'pile unit without points' AS kind, 'missing' AS subject, CAST(NULL AS BIGINT) AS n UNION ALL SELECT 'orientation without a surface', 'other', NULL UNION ALL SELECT 'orientation without place or dip', 'A', NULL UNION ALL SELECT 'fault, not modelled', 'F1', NULL
+UNION ALL SELECT 'not in the pile, placed by height', s, NULL FROM (VALUES ('R'), ('Vein 0'), ('Vein 1'), ('Vein 2')) v(s)
+"""
+
+
 def surface_heights(spark, d):
     p = drill.supported(contact_points(spark, d))
     return p.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
@@ -98,8 +183,14 @@ SELECT round(x0 - w, 6) AS x_min, round(x1 + w, 6) AS x_max, round(y0 - w, 6) AS
 
 
 def plane_fit(spark, d):
-    h = holes(spark, d).select((F.col("ord") % 40).cast("string").alias("surface"), "x", "y", (F.col("x") * 0.5 - F.col("y") * 0.25 + F.pmod("ord", F.lit(3))).alias("z"))
-    return drill.planes(h)
+    """Points on forty planes without scatter, so that the fit is the plane."""
+    k = F.col("ord") % 40
+    h = holes(spark, d).select(k.cast("string").alias("surface"), "x", "y", (F.col("x") * (k + 1) / 20.0 - F.col("y") * 0.25 + k).alias("z"))
+    return drill.planes(h).select("surface", F.round("dip", 5).alias("dip"), F.round("dip_direction", 5).alias("dip_direction"))
+
+
+PLANES = f"""WITH k AS (SELECT DISTINCT ord % 40 AS k FROM ({H}) GROUP BY ord % 40 HAVING count(*) > 2), n AS (SELECT k, -(k + 1) / 20.0::DOUBLE AS nx, 0.25::DOUBLE AS ny FROM k)
+SELECT CAST(k AS VARCHAR) AS surface, round(degrees(acos(1 / sqrt(nx * nx + ny * ny + 1))), 5) AS dip, round((degrees(atan2(nx, ny)) + 360) % 360, 5) AS dip_direction FROM n"""
 
 
 def sections(spark, d):
@@ -125,7 +216,8 @@ SELECT surface, coalesce(series, 'Strat_Series') AS series, CAST(row_number() OV
 """
 
 QUERIES = {
-    "canonical_hole_ids": (canonical_ids, CANON_IDS), "matched_holes": (matched, MATCHED), "contacts": (contacts, CONTACTS), "envelopes": (envelopes, ENVELOPES), "desurvey": (desurvey, DESURVEY), "contact_points": (contact_points, None),
+    "canonical_hole_ids": (canonical_ids, CANON_IDS), "matched_holes": (matched, MATCHED), "contacts": (contacts, CONTACTS), "envelopes": (envelopes, ENVELOPES), "desurvey": (desurvey, DESURVEY), "contact_points": (contact_places, CONTACT_POINTS), "total_depths": (depths, DEPTHS), "digitised_points": (digitised, DIGITISED), "model_series": (model_series, MODEL_SERIES),
+    "model_orientations": (model_orientations, MODEL_ORIENTATIONS), "model_notes": (model_notes, MODEL_NOTES),
     "supported_surfaces": (surface_heights, f"WITH {TRACE_CTE}, k AS (SELECT *, lag(unit) OVER (PARTITION BY hole_id ORDER BY from_m, ord) AS above FROM i) SELECT unit AS surface, count(*) AS n FROM k WHERE lower(above) <> lower(unit) GROUP BY unit HAVING count(*) >= 2"),
-    "model_extent": (model_extent, EXTENT), "plane_fit": (plane_fit, None), "section_points": (sections, SECTIONS), "stratigraphy": (stratigraphy, STRAT),
+    "model_extent": (model_extent, EXTENT), "plane_fit": (plane_fit, PLANES), "section_points": (sections, SECTIONS), "stratigraphy": (stratigraphy, STRAT),
 }

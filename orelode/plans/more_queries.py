@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orelode.functions import text
 from orelode.operators import chapters, chunks, peers, routing
 from orelode.plans import relations as rel
+from orelode.plans.text_queries import HEAD_CTE, TURNS, turns
 from orelode.sources.files import section_pages
 from orelode.streaming import ingest
 
@@ -33,26 +34,25 @@ CHANGED = "SELECT DISTINCT source FROM documents WHERE doc_id % 97 = 5"
 
 def assessed(spark, d):
     t = read(spark, d, "conversations")
-    q = F.when(F.col("turn") % 2 == 0, "Is this a go/no-go?").otherwise(F.col("text"))
-    a = F.element_at(F.array(*(F.lit(x) for x in ("a clear No-Go", "conditional on permits", "further work", "go", "open"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    q = F.when(F.col("turn") % 2 == 0, "Is it a go?").otherwise("Where does it lie?")
+    a = F.element_at(F.array(*(F.lit(x) for x in ("a clear No-Go", "Conditional  go on permits", "further work", "go", "open"))), (F.col("conv_id") % 5 + 1).cast("int"))
     return t.select("conv_id", "turn", text.assessment(q, a, (F.col("conv_id") % 7).cast("int")).alias("assessment"))
 
 
 ASSESSED = r"""
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 OR regexp_matches(lower(text), 'go/no-go|go no go|invest|decision|should we proceed') THEN
-  CASE conv_id % 5 WHEN 0 THEN 'No-Go' WHEN 1 THEN 'Conditional Go' WHEN 2 THEN 'Further Work' WHEN 3 THEN 'Go' ELSE CASE WHEN conv_id % 7 >= 4 THEN 'No-Go' WHEN conv_id % 7 >= 2 THEN 'Conditional Go' WHEN conv_id % 7 = 1 THEN 'Further Work' ELSE 'Go' END END END AS assessment
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CASE conv_id % 5 WHEN 0 THEN 'No-Go' WHEN 1 THEN 'Conditional Go' WHEN 2 THEN 'Further Work' WHEN 3 THEN 'Go'
+  ELSE CASE WHEN conv_id % 7 >= 4 THEN 'No-Go' WHEN conv_id % 7 >= 2 THEN 'Conditional Go' WHEN conv_id % 7 = 1 THEN 'Further Work' ELSE 'Go' END END END AS assessment
 FROM conversations
 """
 TEMPLATES = [(1, "first", "thth"), (2, "second", "ou"), (3, "second", "er"), (4, "third", "a")]
 
 
 def templates(spark, d):
-    q = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text").dropDuplicates(["id"])
-    return routing.first_template(q, spark.createDataFrame(TEMPLATES, "ord int, name string, keyword string"))
+    return routing.first_template(turns(spark, d), spark.createDataFrame(TEMPLATES, "ord int, name string, keyword string"))
 
 
-TEMPLATE_SQL = """
-WITH q AS (SELECT conv_id || '-' || turn AS id, any_value(lower(text)) AS t FROM conversations GROUP BY 1)
+TEMPLATE_SQL = f"""
+WITH q AS (SELECT id, lower(text) AS t FROM ({TURNS}))
 SELECT id, CASE WHEN contains(t, 'thth') THEN 'first' WHEN contains(t, 'ou') OR contains(t, 'er') THEN 'second' WHEN contains(t, 'a') THEN 'third' END AS template FROM q
 """
 
@@ -77,11 +77,11 @@ KEYWORD_SQL = "SELECT doc_id, CAST(contains(lower(text), 'house-rules') AS INT)
 
 
 def figure_pages(spark, d):
-    pages = rel.load(spark, d, rel.PAGES).withColumn("text", F.concat(F.col("text"), F.when(F.col("page") % 5 == 0, F.concat(F.lit("\n Figure 3-"), "page", F.lit(" Cross section looking north\nFigure 9 Long section"))).otherwise("")))
+    pages = rel.load(spark, d, rel.PAGES).withColumn("text", F.concat(F.col("text"), F.when(F.col("page") % 5 == 0, F.concat(F.lit("\n Figure 3-"), "page", F.lit(" Plan looking north\nFigure 9 Long section"))).otherwise("")))
     return section_pages(pages)
 
 
-FIGURE_SQL = f"WITH p AS ({rel.duck(rel.PAGES)}) SELECT source, page, 'Figure 3-' || page || ' Cross section looking north' AS caption FROM p WHERE page % 5 = 0"
+FIGURE_SQL = f"WITH {HEAD_CTE} SELECT source, page, 'Figure 3-' || page || ' Plan looking north' AS caption FROM h WHERE page % 5 = 0"
 
 
 def tagged_chunks(spark, d):
@@ -101,7 +101,30 @@ SELECT p_partkey, regexp_replace(regexp_replace(printf('%.3f', v), '0+$', ''), '
 FROM (SELECT p_partkey, round(floor(p_retailprice) / 8, CASE WHEN floor(p_retailprice) / 8 >= 100 THEN 1 WHEN floor(p_retailprice) / 8 >= 10 THEN 2 ELSE 3 END) AS v FROM part)
 """
 
+def inferred(spark, d):
+    """The field that a question means, for questions made of two words."""
+    words = ["cut-off", "NPV", "irr", "capital cost", "capex", "Operating cost", "recovery", "dilution", "mining recovery", "structure"]
+    w = F.element_at(F.array(*(F.lit(x) for x in words)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", peers.inferred_field(F.concat(F.lit("What about the "), w, F.lit("?"))).alias("field"))
+
+
+INFERRED = "SELECT p_partkey, ['cutoff_grade', 'post_tax_npv', 'irr', 'initial_capex', 'initial_capex', 'opex', 'recovery_rate', 'dilution', 'recovery_rate', NULL][p_partkey % 10 + 1] AS field FROM part"
+
+
+def histories(spark, d):
+    """The last ten pairs of each dialog as text."""
+    pairs = routing.turn_pairs(read(spark, d, "conversations"))
+    listed = pairs.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "question", "answer"))), lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"))).alias("p"))
+    return listed.select("conv_id", text.history_text(F.col("p")).alias("history"))
+
+
+HISTORIES = """
+WITH u AS (SELECT *, lag(role) OVER w AS br, lag(text) OVER w AS bt FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, bt AS q, text AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM u WHERE role = 'assistant' AND br = 'user')
+SELECT conv_id, string_agg('User: ' || q || chr(10) || 'Assistant: ' || a, chr(10) || chr(10) ORDER BY turn) AS history FROM p WHERE r <= 10 GROUP BY conv_id
+"""
+
 QUERIES = {
     "manifest": (manifest, MANIFEST), "changed_sources": (changed_sources, CHANGED), "assessments": (assessed, ASSESSED), "template_match": (templates, TEMPLATE_SQL), "topic_items": (topic_items, TOPIC_SQL),
-    "keyword_scores": (keyword_scores, KEYWORD_SQL), "section_captions": (figure_pages, FIGURE_SQL), "tagged_chunks": (tagged_chunks, None), "short_numbers": (number_texts, None),
+    "keyword_scores": (keyword_scores, KEYWORD_SQL), "section_captions": (figure_pages, FIGURE_SQL), "tagged_chunks": (tagged_chunks, None), "short_numbers": (number_texts, NUMBER_SQL), "inferred_fields": (inferred, INFERRED), "histories": (histories, HISTORIES),
 }

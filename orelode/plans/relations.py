@@ -7,9 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 PAGES = """
-SELECT source, page,
+SELECT n.source AS source, page,
        CASE WHEN page % 7 = 1 THEN concat('Item ', CAST(floor((page - 1) / 7) AS INT) % 27 + 1, ' - Section ', page, '\n\n', text) ELSE text END AS text
-FROM (SELECT source, text, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page FROM {documents})
+FROM (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page FROM {documents}) n JOIN {documents} d ON n.doc_id = d.doc_id
 """
 
 RESOURCES = """

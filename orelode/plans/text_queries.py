@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orelode.functions import html, text
-from orelode.operators import chapters, chunks, retrieval, routing
+from orelode.operators import chapters, chunks, gather, retrieval, routing
 from orelode.plans import relations as rel
 
 P = rel.duck(rel.PAGES)
@@ -19,11 +19,19 @@ def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", html.html_text(F.col("html")).alias("body"))
 
 
-HTML_TEXT = r"""
-SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
-  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<\s*br\s*/?>', chr(10), 'g'), '(?is)</\s*(p|div|li|h[1-6]|tr|table)\s*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body
-FROM pages
+# DuckDB has no table of entities; these are all that the given pages have, and the commonest others.
+ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&eacute;": "é", "&uuml;": "ü", "&amp;": "&"}
+
+
+def _decoded(sql: str) -> str:
+    for k, v in ENTITIES.items():
+        sql = f"replace({sql}, '{k}', '{v}')"
+    return sql
+
+
+HTML_TEXT = rf"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br */?>|</(p|div|li|h1|h2|h3|h4|h5|h6|tr|table)>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages)
+SELECT page_id, regexp_replace(regexp_replace({_decoded('t')}, '[ \t]+', ' ', 'g'), '^[\s ]+|[\s ]+$', '', 'g') AS body FROM a
 """
 
 
@@ -52,17 +60,29 @@ def page_chunks(spark, d):
     return chunks.page_chunks(pages)
 
 
+# The packing is a recursion over the paragraphs of each page.
+PAGE_CHUNKS = rf"""
+WITH RECURSIVE pages0 AS ({P}), q AS (SELECT source, page, list_filter(list_transform(regexp_split_to_array(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM pages0),
+r AS (SELECT source, page, ps, 0 AS i, 0 AS chunk, CAST(NULL AS VARCHAR) AS done, '' AS buf FROM q
+  UNION ALL
+  SELECT source, page, ps, i + 1, CASE WHEN i = len(ps) OR fits OR buf = '' THEN chunk ELSE chunk + 1 END, CASE WHEN i = len(ps) THEN nullif(buf, '') WHEN fits OR buf = '' THEN NULL ELSE buf END,
+    CASE WHEN i = len(ps) THEN '' WHEN fits THEN joined ELSE substr(CASE WHEN buf = '' OR tail = '' THEN p ELSE tail || chr(10) || chr(10) || p END, 1, 1400) END
+  FROM (SELECT *, CASE WHEN buf = '' THEN p ELSE buf || chr(10) || chr(10) || p END AS joined, length(CASE WHEN buf = '' THEN p ELSE buf || chr(10) || chr(10) || p END) <= 1400 AS fits, regexp_replace(right(buf, 150), '^\s+|\s+$', '', 'g') AS tail
+        FROM (SELECT *, coalesce(ps[i + 1], '') AS p FROM r WHERE i <= len(ps))))
+SELECT source, page, CAST(chunk - CASE WHEN i > len(ps) THEN 0 ELSE 1 END AS INT) AS chunk, done AS text, 'text' AS type,
+  source || ':p' || page || ':c' || CAST(chunk - CASE WHEN i > len(ps) THEN 0 ELSE 1 END AS INT) || ':' || substr(md5(done), 1, 12) AS chunk_id
+FROM r WHERE done IS NOT NULL
+"""
+
+
 def headings(spark, d):
     return rel.load(spark, d, rel.PAGES).select("source", "page", chapters.heading(F.col("text")).alias("h")).select("source", "page", "h.item", "h.title")
 
 
-HEAD_CTE = rf"""
-p AS ({P}),
-g AS (SELECT source, page, TRY_CAST(nullif(regexp_extract(text, '(?i)(?:^|\n)\s*(?:item\s*)?(\d{{1,2}})\s*[.:\-–—]\s*([^\n]{{3,80}})', 1), '') AS INT) AS n,
-             regexp_extract(text, '(?i)(?:^|\n)\s*(?:item\s*)?(\d{{1,2}})\s*[.:\-–—]\s*([^\n]{{3,80}})', 2) AS t,
-             TRY_CAST(nullif(regexp_extract(substr(text, 1, 200), '(?i)(?:^|\n)\s*item\s*(\d{{1,2}})\b', 1), '') AS INT) AS m FROM p),
-h AS (SELECT source, page, CASE WHEN n BETWEEN 1 AND 27 THEN n WHEN m BETWEEN 1 AND 27 THEN m END AS item,
-             CASE WHEN n BETWEEN 1 AND 27 THEN substr(regexp_replace(regexp_replace(trim(t, ' ' || chr(9) || chr(13)), '\s+', ' ', 'g'), '[.\s]+$', ''), 1, 120) WHEN m BETWEEN 1 AND 27 THEN 'Item ' || m END AS title FROM g)
+# Every seventh page begins with a heading, and no other page has one.
+HEAD_CTE = f"""
+n AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page FROM documents),
+h AS (SELECT source, page, CASE WHEN page % 7 = 1 THEN CAST(floor((page - 1) / 7) AS INT) % 27 + 1 END AS item, CASE WHEN page % 7 = 1 THEN 'Section ' || page END AS title FROM n)
 """
 HEADINGS = f"WITH {HEAD_CTE} SELECT source, page, item, title FROM h"
 
@@ -71,12 +91,8 @@ def chapter_ranges(spark, d):
     return chapters.chapter_ranges(rel.load(spark, d, rel.PAGES))
 
 
-RANGE_CTE = HEAD_CTE + """,
-k AS (SELECT *, lag(item) OVER w AS bi, lag(page) OVER w AS bp FROM h WHERE item IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY page, item, title)),
-c AS (SELECT source, CAST(row_number() OVER w AS INT) AS ord, item, title, page AS page_start, CASE WHEN lead(page) OVER w IS NOT NULL THEN greatest(page, lead(page) OVER w - 1) END AS page_end
-      FROM k WHERE NOT (item IS NOT DISTINCT FROM bi AND page IS NOT DISTINCT FROM bp) WINDOW w AS (PARTITION BY source ORDER BY page, item, title))
-"""
-RANGES = f"WITH {RANGE_CTE} SELECT * FROM c"
+RANGES = f"""WITH {HEAD_CTE}, l AS (SELECT source, max(page) AS last FROM h WHERE item IS NOT NULL GROUP BY source)
+SELECT source, CAST((page - 1) / 7 AS INT) + 1 AS ord, item, title, page AS page_start, CASE WHEN page < last THEN page + 6 END AS page_end FROM h JOIN l USING (source) WHERE item IS NOT NULL"""
 
 
 def tagged_pages(spark, d):
@@ -84,12 +100,35 @@ def tagged_pages(spark, d):
     return chapters.tag_pages(pages.select("source", "page"), chapters.chapter_ranges(pages))
 
 
-TAGGED = f"""
-WITH {RANGE_CTE}
-SELECT p.source, p.page, coalesce(first(c.item ORDER BY CASE WHEN page_end IS NULL OR p.page <= page_end THEN 0 ELSE 1 END, CASE WHEN page_end IS NULL OR p.page <= page_end THEN ord ELSE -ord END) FILTER (WHERE c.ord IS NOT NULL), 0) AS ni_item,
-       coalesce(first(c.title ORDER BY CASE WHEN page_end IS NULL OR p.page <= page_end THEN 0 ELSE 1 END, CASE WHEN page_end IS NULL OR p.page <= page_end THEN ord ELSE -ord END) FILTER (WHERE c.ord IS NOT NULL), '') AS section_title
-FROM p LEFT JOIN c ON c.source = p.source AND page_start <= p.page GROUP BY p.source, p.page
-"""
+TAGGED = f"WITH {HEAD_CTE} SELECT source, page, CAST(floor((page - 1) / 7) AS INT) % 27 + 1 AS ni_item, 'Section ' || (page - (page - 1) % 7) AS section_title FROM h"
+
+
+def inline_tags(spark, d):
+    """Pages tagged by chapters that begin on page 40 only; earlier pages by a heading of their own, a bare one by the catalogue."""
+    titles = {9: "Exploration", 13: "Mineral Processing"}
+    p = rel.load(spark, d, rel.PAGES)
+    bare = F.when(F.col("page") % 5 == 2, F.concat(F.lit("Item "), (F.col("page") % 27 + 1).cast("string"), F.lit("\nsome text"))).otherwise(F.col("text"))
+    p = p.withColumn("text", bare)
+    found = chapters.chapter_ranges(p.where("page % 7 = 1 and page % 5 <> 2")).where("page_start >= 40")
+    return chapters.tag_pages(p, found, "text", titles).select("source", "page", "ni_item", "section_title")
+
+
+INLINE = f"""WITH {HEAD_CTE}, s AS (SELECT source, page AS start, item, title FROM h WHERE item IS NOT NULL AND page % 5 <> 2 AND page >= 40), a AS (SELECT h.source, h.page, max(start) AS start FROM h LEFT JOIN s ON s.source = h.source AND start <= page GROUP BY 1, 2)
+SELECT a.source, a.page, coalesce(s.item, CASE WHEN a.page % 5 = 2 THEN a.page % 27 + 1 WHEN a.page % 7 = 1 THEN CAST(floor((a.page - 1) / 7) AS INT) % 27 + 1 END, 0) AS ni_item,
+  coalesce(s.title, CASE WHEN a.page % 5 = 2 THEN CASE a.page % 27 + 1 WHEN 9 THEN 'Exploration' WHEN 13 THEN 'Mineral Processing' ELSE 'Item ' || (a.page % 27 + 1) END WHEN a.page % 7 = 1 THEN 'Section ' || a.page END, '') AS section_title
+FROM a LEFT JOIN s ON s.source = a.source AND s.start = a.start"""
+
+
+def page_parts(spark, d):
+    """Two tables on every tenth page, and every fourth page a diagram: what becomes of each page."""
+    p = rel.load(spark, d, rel.PAGES).withColumn("text", F.when(F.col("page") % 10 == 3, F.lit("body<table><tr><td>a</td></tr></table><TABLE>no cells</TABLE>")).otherwise("plain"))
+    found = chunks.page_parts(p.withColumn("is_diagram", F.col("page") % 4 == 0))
+    return found.select("source", "page", "chunk", "type", "text")
+
+
+PARTS = f"""WITH {HEAD_CTE}
+SELECT source, page, 0 AS chunk, 'text' AS type, CASE WHEN page % 10 = 3 THEN 'body' ELSE 'plain' END AS text FROM h WHERE page % 4 > 0
+UNION ALL SELECT source, page, CAST(999 + row_number() OVER (PARTITION BY source ORDER BY page) AS INT), 'table', '| a |' || chr(10) || '| --- |' || chr(10) || chr(10) || 'no cells' FROM h WHERE page % 10 = 3"""
 
 
 def vector_chunks(spark, d):
@@ -160,14 +199,53 @@ SELECT query_id, string_agg('[' || rank || '] ' || source || ' ' || CASE WHEN ni
 
 
 def fallback(spark, d):
-    """Hits under a filter that some queries have none for, and unfiltered ones for those."""
-    hits = retrieval.nearest(vector_chunks(spark, d), vector_queries(spark, d), 6)
-    return retrieval.relaxed(hits.where("ni_item = 0"), hits.where("fetch_rank <= 2")).select("query_id", "id")
+    """The nearest chunks of the same item and type as a query's, and those of all for queries whose item has none."""
+    v = vector_chunks(spark, d)
+    queries = vector_queries(spark, d)
+    strict = retrieval.nearest(v.where(retrieval.metadata_filter(items=[5], types=["table"])), queries.where("query_id % 100 = 0"), 3)
+    return retrieval.relaxed(strict, retrieval.nearest(v, queries, 2)).select("query_id", "id")
 
 
 FALLBACK = f"""
-WITH {V}, f AS (SELECT query_id, id, ni_item, row_number() OVER w AS fr FROM x WINDOW w AS (PARTITION BY query_id ORDER BY dist, id) QUALIFY row_number() OVER w <= 6)
-SELECT query_id, id FROM f WHERE ni_item = 0 UNION ALL SELECT query_id, id FROM f WHERE fr <= 2 AND query_id NOT IN (SELECT query_id FROM f WHERE ni_item = 0)
+WITH {V}, s AS (SELECT query_id, id FROM x WHERE ni_item = 5 AND type = 'table' AND query_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) <= 3),
+l AS (SELECT query_id, id FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) <= 2)
+SELECT query_id, id FROM s UNION ALL SELECT query_id, id FROM l WHERE query_id NOT IN (SELECT query_id FROM s)
+"""
+
+
+def catalogue(spark, d):
+    q = vector_queries(spark, d).where("query_id < 500").withColumn("n", (F.col("query_id") / 50).cast("int"))
+    return q.select("query_id", (F.col("n") % 3).alias("block_ord"), F.concat(F.lit("topic "), (F.col("n") % 3).cast("string")).alias("topic"), F.when(F.col("n") % 3 == 2, 5).alias("item"), F.col("n").alias("query_ord"), F.lit("gold tonnage").alias("question"), "query")
+
+
+def topic_context(spark, d):
+    """Context of a catalogue of topics and an item for each file: its length, its blocks and how many chunks it has."""
+    found = gather.for_topics(vector_chunks(spark, d).withColumn("chunk", F.lit(0)), catalogue(spark, d), 4)
+    return found.select("file", F.regexp_extract_all("context", F.lit("### Context for: ([^\n]+)"), F.lit(1)).alias("b"), F.size(F.regexp_extract_all("context", F.lit(r"(\[\d+\] file)"), F.lit(1))).alias("chunks")).select("file", F.array_join("b", ",").alias("blocks"), "chunks")
+
+
+TOPICS = f"""
+WITH {V}, y AS (SELECT *, CAST(query_id / 50 AS INT) % 3 AS b, CASE WHEN text LIKE '%gold%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%tonnage%' THEN 1 ELSE 0 END + CASE WHEN type = 'table' THEN 2 ELSE 0 END AS score FROM x WHERE query_id < 500),
+f AS (SELECT *, row_number() OVER w AS fr FROM y WINDOW w AS (PARTITION BY source, query_id ORDER BY dist, id) QUALIFY row_number() OVER w <= 16),
+r AS (SELECT *, row_number() OVER w AS rank FROM f WINDOW w AS (PARTITION BY source, query_id ORDER BY score DESC, dist, fr) QUALIFY row_number() OVER w <= 4),
+k AS (SELECT * FROM r WHERE b < 2 OR ni_item IN (0, 5) QUALIFY row_number() OVER (PARTITION BY source, id ORDER BY b, query_id, rank) = 1)
+SELECT source AS file, string_agg(CASE WHEN b = 2 THEN 'Item 5' ELSE 'topic ' || b END, ',' ORDER BY b) AS blocks, CAST(sum(n) AS INT) AS chunks FROM (SELECT source, b, count(*) AS n FROM k GROUP BY source, b) GROUP BY source
+"""
+
+
+def variant_context(spark, d):
+    """Tables first, then all chunks, for one query: which pages each file's context has, in order."""
+    q = catalogue(spark, d).where("query_ord = 0").select("query_id", "block_ord", "question", "query")
+    found = gather.with_variants(vector_chunks(spark, d).withColumn("chunk", F.lit(0)), q, 3, types=["table"])
+    return found.select("file", F.array_join(F.regexp_extract_all("context", F.lit(r"page (\d+)"), F.lit(1)), ",").alias("pages"))
+
+
+VARIANTS = f"""
+WITH {V}, y AS (SELECT *, CASE WHEN text LIKE '%gold%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%tonnage%' THEN 1 ELSE 0 END + CASE WHEN type = 'table' THEN 2 ELSE 0 END AS score FROM x WHERE query_id = 0),
+z AS (SELECT *, 0 AS turn FROM y WHERE type = 'table' UNION ALL SELECT *, 1 FROM y), f AS (SELECT *, row_number() OVER w AS fr FROM z WINDOW w AS (PARTITION BY source, turn ORDER BY dist, id) QUALIFY row_number() OVER w <= 15),
+r AS (SELECT *, row_number() OVER w AS rank FROM f WINDOW w AS (PARTITION BY source, turn ORDER BY score DESC, dist, fr) QUALIFY row_number() OVER w <= 3),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source, id ORDER BY turn, rank) = 1)
+SELECT source AS file, string_agg(CAST(id AS VARCHAR), ',' ORDER BY turn, rank) AS pages FROM k GROUP BY source
 """
 
 
@@ -183,15 +261,23 @@ SELECT conv_id, turn, bt AS question, text AS answer FROM u WHERE role = 'assist
 RULES = [(1, "th", [1, 25], [3]), (2, "ou", [14, 1], [25, 7]), (3, "der ", [21], [22]), (4, "ación", [16], [])]
 
 
+def turns(spark, d):
+    """Every different turn with a text; its id holds the text's digest, as numbers of turns repeat."""
+    t = read(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "role", "text").distinct()
+    return t.select(F.concat_ws("-", "conv_id", "turn", "role", F.md5("text")).alias("id"), "text")
+
+
+TURNS = "SELECT DISTINCT conv_id || '-' || turn || '-' || role || '-' || md5(text) AS id, text FROM conversations WHERE text IS NOT NULL"
+
+
 def route(spark, d):
-    q = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text").dropDuplicates(["id"])
-    return routing.routed(q.where("text is not null"), spark.createDataFrame(RULES, "ord int, pattern string, primary array<int>, cross array<int>")).select(
+    return routing.routed(turns(spark, d), spark.createDataFrame(RULES, "ord int, pattern string, primary array<int>, cross array<int>")).select(
         "id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("primary_items", "cross_items", "matched")))
 
 
-ROUTE = """
+ROUTE = f"""
 WITH r(ord, pattern, p, c) AS (VALUES (1, 'th', [1, 25], [3]), (2, 'ou', [14, 1], [25, 7]), (3, 'der ', [21], [22]), (4, 'ación', [16], CAST([] AS INT[]))),
-q AS (SELECT conv_id || '-' || turn AS id, any_value(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL GROUP BY 1),
+q AS (SELECT id, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS t FROM ({TURNS})),
 h AS (SELECT id, list(pattern ORDER BY ord) FILTER (WHERE pattern IS NOT NULL) AS m, list_sort(list_distinct(flatten(list(p) FILTER (WHERE p IS NOT NULL)))) AS p, list_sort(list_distinct(flatten(list(c) FILTER (WHERE c IS NOT NULL)))) AS c FROM q LEFT JOIN r ON contains(t, pattern) GROUP BY id),
 z AS (SELECT id, coalesce(m, []) AS m, CASE WHEN m IS NULL THEN [1, 25] ELSE p END AS p, coalesce(c, []) AS c FROM h)
 SELECT id, array_to_string(p, ',') AS primary_items, array_to_string(list_filter(c, lambda x: NOT list_contains(p, x)), ',') AS cross_items, array_to_string(m, ',') AS matched FROM z
@@ -199,16 +285,16 @@ SELECT id, array_to_string(p, ',') AS primary_items, array_to_string(list_filter
 
 
 def greetings(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(text.is_greeting(F.concat(F.when(F.col("turn") % 3 == 0, "Thanks!").otherwise(F.col("text")))), F.lit(False)).alias("greeting"))
+    t = F.when(F.col("turn") % 3 == 0, "Thanks!").when(F.col("turn") % 3 == 1, " Goodbye ?! ").otherwise(F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", text.is_greeting(t).alias("greeting"))
 
 
 GREETINGS = r"""
-SELECT conv_id, turn, coalesce(length(t) <= 50 AND regexp_matches(t, '^(hi|hello|hey|thanks|thank you|thx|ok|okay|good (morning|afternoon|evening))\b[\s!.,]*$'), false) AS greeting
-FROM (SELECT conv_id, turn, regexp_replace(lower(CASE WHEN turn % 3 = 0 THEN 'Thanks!' ELSE text END), '^\s+|\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, turn % 3 < 2 OR coalesce(length(trim(text)) <= 50 AND regexp_full_match(lower(trim(text)), '(hi|hello|hey|thanks|thank you|bye|goodbye|ok|okay)[\s!.?]*'), false) AS greeting FROM conversations
 """
 
 QUERIES = {
-    "html_text": (html_text, HTML_TEXT), "table_markdown": (table_markdown, TABLE_MARKDOWN), "chunk_ids": (chunk_ids, CHUNK_IDS), "page_chunks": (page_chunks, None), "chapter_headings": (headings, HEADINGS),
+    "html_text": (html_text, HTML_TEXT), "table_markdown": (table_markdown, TABLE_MARKDOWN), "chunk_ids": (chunk_ids, CHUNK_IDS), "page_chunks": (page_chunks, PAGE_CHUNKS), "chapter_headings": (headings, HEADINGS),
     "chapter_ranges": (chapter_ranges, RANGES), "tagged_pages": (tagged_pages, TAGGED), "knn": (knn, KNN), "hybrid_rerank": (hybrid, HYBRID), "query_set_gather": (gathered, GATHERED), "query_context": (query_context, CONTEXT),
-    "filter_fallback": (fallback, FALLBACK), "turn_pairs": (turn_pairs, TURN_PAIRS), "route_questions": (route, ROUTE), "greetings": (greetings, GREETINGS),
+    "inline_tags": (inline_tags, INLINE), "page_parts": (page_parts, PARTS), "topic_context": (topic_context, TOPICS), "variant_context": (variant_context, VARIANTS), "filter_fallback": (fallback, FALLBACK), "turn_pairs": (turn_pairs, TURN_PAIRS), "route_questions": (route, ROUTE), "greetings": (greetings, GREETINGS),
 }

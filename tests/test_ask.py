@@ -15,10 +15,10 @@ def corpus(spark):
 
 
 def test_offline_answer(spark):
-    a = ask(spark, corpus(spark), "Which gold grade?", [10.0, 1.0], k=3, target="a.pdf")
+    a = ask(spark, corpus(spark), "Which gold grade do peers have?", [10.0, 1.0], k=3, target="a.pdf")
     assert (a.primary, a.cross) == ([14], [10]) and a.playbook == "## Item 14: Resources\nDD question: How much?\nGather: tonnes; grade\nSearch: estimate\nFlag: x; y"
     assert {p for _, p in a.sources} <= {10, 14} and a.peers == ["b.pdf", "c.pdf"] and "Routed items: [14]" in a.text
-    assert ask(spark, corpus(spark), "Which gold grade?", [1.0, 1.0], model=lambda p: "yes").text == "yes"
+    assert ask(spark, corpus(spark), "Which gold grade?", [1.0, 1.0], model=lambda p: "yes").text == "yes\n\n**Assessment:** Go"
     b = ask(spark, corpus(spark), "What permits?", [1.0, 1.0], k=2, model=lambda p: 1 / 0)
     assert b.primary == [20] and b.text.startswith("Model failed")
 
@@ -44,3 +44,4 @@ def test_estimates(spark):
     assert [r.type for r in estimates.decoded_events(sse).orderBy("pos").collect()] == ["meta", "done"]
     assert '"authors"' not in estimates.slim(df).first().document
     assert estimates.default_orientation(spark.createDataFrame([(1.0, 2.0, None), (3.0, 4.0, 6.0)], "x double, y double, z double"), "s", 30.0, 90.0).first().z == 3.0
+    assert estimates.values(df, "recovery").count() == 0 and estimates.values(df, "cutoff_grade").first().unit == ""

@@ -18,19 +18,18 @@ def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column.alias("x")).first().x
 
 
+def expected_chunks(paragraphs, size, overlap, before=""):
+    """As many paragraphs as fit, then those of the rest, whose first has the end of this chunk before it."""
+    if not paragraphs:
+        return []
+    head = "\n\n".join(x for x in (before, paragraphs[0]) if x)[:size]
+    taken = max(k for k in range(1, len(paragraphs) + 1) if k == 1 or len("\n\n".join([head, *paragraphs[1:k]])) <= size)
+    chunk = "\n\n".join([head, *paragraphs[1:taken]])
+    return [chunk, *expected_chunks(paragraphs[taken:], size, overlap, chunk[len(chunk) - overlap if overlap < len(chunk) else 0 :].strip() if overlap else "")]
+
+
 def plain_chunks(t, size, overlap):
-    t = re.sub(r"\n{3,}", "\n\n", t).strip()
-    out, held = [], ""
-    for p in [p.strip() for p in re.split(r"\n\s*\n", t) if p.strip()]:
-        both = f"{held}\n\n{p}" if held else p
-        if len(both) <= size:
-            held = both
-            continue
-        tail = held[-overlap:].strip() if held and overlap else ""
-        if held:
-            out.append(held)
-        held = (f"{tail}\n\n{p}".strip() if tail else p)[:size]
-    return [c for c in [*out, held] if c.strip()]
+    return expected_chunks([p.strip() for p in re.split(r"\n\s*\n", t.strip()) if p.strip()], size, overlap)
 
 
 def test_chunks_match_a_plain_loop(spark):
@@ -56,6 +55,16 @@ def test_ranges_match_a_plain_loop(spark):
             assert tags[s, p] == (inside[0] if inside else 0)
 
 
+def test_repeated_rows_stay(spark):
+    pages = spark.createDataFrame([("a", 2, "x"), ("a", 2, "x"), ("a", 1, "3. Head"), ("b", 9, "Item 4\nx"), ("b", None, "x"), ("b", 0, "7. Zero")], "source string, page int, text string")
+    tagged = chapters.tag_pages(pages, chapters.chapter_ranges(pages.where("source = 'a'")), "text", {4: "Property"})
+    assert tagged.columns == ["source", "page", "text", "ni_item", "section_title"]
+    assert sorted((r.source, str(r.page), r.ni_item, r.section_title) for r in tagged.collect()) == [("a", "1", 3, "Head"), ("a", "2", 3, "Head"), ("a", "2", 3, "Head"), ("b", "0", 7, "Zero"), ("b", "9", 4, "Property"), ("b", "None", 0, "")]
+    old = pages.where("page = 2").withColumn("ni_item", F.lit(9)).withColumn("section_title", F.lit("old")).withColumn("chunk_id", F.lit("k"))
+    again = chapters.retagged(old.unionByName(old.withColumn("source", F.lit("other"))), pages.where("source = 'a'"))
+    assert sorted((r.source, r.ni_item, r.section_title, r.chunk_id) for r in again.collect()) == [("a", 3, "Head", "k")] * 2 + [("other", 9, "old", "k")] * 2
+
+
 def test_headings(spark):
     for t, expected in (("Item 14 — Mineral Resources", (14, "Mineral Resources")), ("14.1 Foo bar", (14, "1 Foo bar")), ("see item 9 here", (None, None)), ("Item 9\nx", (9, "Item 9")), ("99. Nothing", (None, None))):
         found = one(spark, chapters.heading(F.col("t")), t=t)
@@ -73,7 +82,22 @@ def test_text_helpers(spark):
     assert [one(spark, text.commodity(F.col("t")), t=t) for t in ("Au", "Coal", "Limestone", "Zirconium")] == ["Gold", "Cobalt", "Lithium", "Zirconium"]
     assert one(spark, text.truncated(F.col("t"), 3, "…"), t="abcdef") == "abc…"
     assert one(spark, text.assessment(F.col("q"), F.col("a"), F.lit(2)), q="Invest?", a="Unclear.") == "Conditional Go"
-    assert one(spark, text.assessment(F.col("q"), F.col("a"), F.lit(9)), q="Where is it?", a="Go") is None
+    assert one(spark, text.assessment(F.col("q"), F.col("a"), F.lit(9)), q="Where is it?", a="Yes") is None
+    assert one(spark, text.assessment(F.col("q"), F.col("a"), F.lit(0)), q="Is it a go?", a="Conditional  go") == "Conditional Go"
+    assert one(spark, text.with_assessment(F.col("a"), F.lit("Go")), a="Yes. \n") == "Yes.\n\n**Assessment:** Go"
+    assert [one(spark, text.is_greeting(F.col("t")), t=t) for t in ("Bye!", " thank you ?", "hello there", "ok" + "!" * 60)] == [True, True, False, False]
+    blocks = "array(named_struct('text', 'a', 'content', 'z'), named_struct('text', '', 'content', 'b'), named_struct('text', null, 'content', null))"
+    assert spark.range(1).select(text.joined_content(F.expr(blocks))).first()[0] == "ab"
+    assert spark.range(1).select(text.history_text(F.expr("array(named_struct('question', 'q', 'answer', 'a'))")), text.history_text(F.expr("slice(array(named_struct('question', 'q', 'answer', 'a')), 1, 0)"))).first()[:] == ("User: q\nAssistant: a", "None")
+    prompt = one(spark, text.chat_prompt(F.lit("i"), F.lit("c"), F.col("q")), q='say "x"')
+    assert json.loads(prompt.split("\n\n", 1)[1]) == {"instruction": "i", "context": "c", "question": 'say "x"'}
+    grades = "array(named_struct('commodity', 'Au', 'grade_value', 1.5D, 'grade_unit', 'g/t'), named_struct('commodity', null, 'grade_value', 2D, 'grade_unit', null), named_struct('commodity', 'Ag', 'grade_value', null, 'grade_unit', 'x'))"
+    assert spark.range(1).select(text.grades_text(F.expr(grades)), text.grades_text(F.expr(f"slice({grades}, 3, 1)"))).first()[:] == ("Au: 1.50 g/t • 2.00", "—")
+    assert [one(spark, text.short_tonnes_text(F.col("t")), t=t) for t in (2.5e6, 1500.0, 12.0)] == ["2.50 Mt", "1.5 kt", "12 t"]
+    assert [one(spark, text.amount_text(F.col("t"), F.lit("oz")), t=t) for t in (2.5e6, 1500.0, 12.0)] == ["2.500M oz", "1.5K oz", "12 oz"]
+    assert [one(spark, text.commodity_colour(F.col("t")), t=t) for t in ("Gold", "Tin", "")] == ["#F59E0B", "#9CA3AF", "#9CA3AF"]
+    assert one(spark, text.escaped(F.col("t")), t="a<b>&") == "a&lt;b&gt;&amp;"
+    assert one(spark, text.answer_event("meta", n=F.col("t")), t=1) == 'data: {"type":"meta","n":1}\n\n'
     for v in (0.2, 12345.678, 0.00001234, 1.0, 999.96, 0.0, 123.456):
         assert one(spark, peers.short_number(F.col("v")), v=v) == f"{v:.4g}"
 
@@ -129,6 +153,8 @@ def test_drill_geometry(spark):
     assert ends["V"][2] == 200 and math.isclose(ends["D"][0], 50, abs_tol=1e-9) and math.isclose(ends["D"][2], -100 * math.sin(math.pi / 3), abs_tol=1e-9)
     points = spark.createDataFrame([("V", 50.0), ("V", 900.0), ("V", -5.0)], "hole_id string, md double")
     assert {r.md: round(r.z, 6) for r in drill.positions(points, trace).collect()} == {50.0: 250.0, 900.0: 200.0, -5.0: 300.0}
+    assert drill.positions(points.union(points), trace).count() == 6
+    assert {r.hole_id: r.total_md for r in drill.total_depths(trace).collect()} == {"V": 100.0, "D": 100.0}
     assert one(spark, drill.lerp_angle(F.lit(350.0), F.lit(10.0), F.lit(0.5))) == 0.0
     p = [(float(x), float(y), -float(x)) for x in range(3) for y in range(3)]
     assert np.allclose(drill.plane(np.array(p)), (45.0, 90.0))
