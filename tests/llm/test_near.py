@@ -3,9 +3,11 @@ import re
 import string
 from collections import defaultdict
 
+import pytest
 from common import empty, odd, odd_rows, prose
 
 from orelode.llm import near_dedup
+from orelode.llm.common import Scratch
 from orelode.llm.near_dedup import components, keep_one_of_each_group, near_duplicates
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -76,14 +78,18 @@ def test_a_tail_of_unshared_values_does_not_hide_a_link(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
 
 
 def test_kept_documents_have_all_columns(spark):
-    kept = keep_one_of_each_group(odd(spark))
-    assert kept.columns == odd(spark).columns
+    docs = odd(spark).withColumnRenamed("v", "of").withColumnRenamed("th", "hashed")
+    kept = keep_one_of_each_group(docs)
+    assert kept.dtypes == docs.dtypes
+    assert {(r["of"], r["hashed"], r["cid"]) for r in kept.collect()} == {("y", "z", 8)}
     expected = sorted(str(d) for d, _, _, keep in brute([(r[0], r[1]) for r in odd_rows()]) if keep)
     assert sorted(str(r.doc_id) for r in kept.collect()) == expected
