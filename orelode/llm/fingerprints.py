@@ -13,11 +13,15 @@ from orelode.llm.common import text_or_empty
 
 K, WORDS = 256, 5
 SPACES = r"[\x20\x09-\x0D]+"
-IDS = 512  # doc_ids per block when the next document is looked up
+IDS = 1024  # doc_ids per block when the next document is looked up
 
 
 def add_sketch(df: DataFrame, text: str, out: str, k: int = K, width: int = WORDS) -> DataFrame:
-    """Add the sketch of a text column: lower-cased words, `width` in a row; fewer words are one shingle, none an empty sketch."""
+    """Add the sketch of a text column: lower-cased words, `width` in a row; fewer words are one shingle, none an empty sketch.
+
+    Null has a null sketch. Rows stay as they are, repeated ones too, however long; an empty table stays empty. The names
+    `out`, <out>_words and <out>_hashes are taken: columns of df with these names are replaced or dropped.
+    """
     w, h = f"{out}_words", f"{out}_hashes"
     df = df.withColumn(w, F.filter(F.split(F.lower(F.col(text)), SPACES), lambda x: x != ""))
     df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x))).drop(w)
@@ -63,51 +67,64 @@ def merge_groups(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> Dat
 
 
 def as_text(sketch: Column) -> Column:
-    """Sixteen hex digits for each value."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """The values in order, eight bytes each, in base 64."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), ""))), "\r\n", "")
 
 
-def with_next(docs: DataFrame, sketch: str, k: int = K) -> DataFrame:
-    """Add next_text and next_<sketch>, those of the next row by (doc_id, text); after the last comes the first.
+def block_ends(ids: DataFrame) -> DataFrame:
+    """block, last_id, next_id for each block of IDS ids (column doc_id): its largest id, and the smallest of the next block.
 
-    docs has doc_id and text (not null). Ids are dealt in blocks of IDS, so a block holds IDS distinct ids at most however
-    they are spread; only each block's first row is looked up from the block before. Null ids come first, together.
+    After the last block comes the first. Null ids are a block before all others. Blocks are put in order in groups of
+    65,536, and those groups in one task.
     """
-    block = F.coalesce(F.floor(F.col("doc_id") / IDS).cast("bigint"), F.lit(-(2**62)))
-    # Texts are dealt once, for both uses below, and sketches are made after that: they don't compress.
-    dealt = docs.select("doc_id", "text").withColumn("block", block).repartition("block")
-    heads = docs.select("doc_id").withColumn("block", block).groupBy("block").agg(F.min("doc_id").alias("head_id"))
-    wide = F.floor(F.col("block") / (1 << 16))
-    heads = heads.withColumn("wide", wide)
-    inner = Window.partitionBy("wide").orderBy("block")
-    tops = heads.groupBy("wide").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    ends = ids.withColumn("block", block_of(F.col("doc_id"))).groupBy("block").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    ends = ends.withColumn("wide", F.floor(F.col("block") / (1 << 16)))
+    groups = ends.groupBy("wide").agg(F.min_by("first_id", "block").alias("first_id"))
     whole = Window.orderBy("wide")
-    before = F.coalesce(F.lag("last").over(whole), F.max("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.select(F.col("first").alias("block_"), before.alias("carried"))
-    heads = heads.withColumn("prev", F.lag("block").over(inner))
-    heads = heads.join(tops, F.col("block") == F.col("block_"), "left").select(
-        F.col("block").alias("head_block"), "head_id", F.coalesce("prev", "carried").alias("prev"))
-    first = (dealt.join(heads, (F.col("block") == F.col("head_block")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
-             .groupBy("prev").agg(F.min("text").alias("head_text")))
-    first = add_sketch(first, "head_text", "head_sketch", k).withColumnRenamed("prev", "of_block")
+    start = F.first(F.struct("first_id")).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = groups.select(F.col("wide").alias("wide_"), F.coalesce(F.lead(F.struct("first_id")).over(whole), start).alias("after"))
+    follows = F.lead(F.struct("first_id")).over(Window.partitionBy("wide").orderBy("block"))
+    return (ends.withColumn("follows", follows).join(after, F.col("wide") == F.col("wide_"))
+            .select("block", "last_id", F.coalesce("follows", "after")["first_id"].alias("next_id")))
+
+
+def block_of(doc_id: Column) -> Column:
+    return F.coalesce(F.floor(doc_id / IDS).cast("bigint"), F.lit(-(2**62)))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text and next_text, that of the next row by (doc_id, text); after the last comes the first.
+
+    docs has doc_id and text (not null); other columns are dropped. Texts are shuffled once, by blocks of IDS ids; only the
+    last and the next block's first text of each block are looked up, by their ids. Null ids come first, in one block, as do
+    all rows of one id. Repeated rows follow each other. One row is its own next; an empty table stays empty; texts may have any length.
+    """
+    docs = docs.select("doc_id", "text")
     here = Window.partitionBy("block").orderBy("doc_id", "text")
-    rows = add_sketch(dealt, "text", sketch, k)
-    rows = rows.withColumn("lead_text", F.lead("text").over(here)).withColumn("lead_sketch", F.lead(sketch).over(here))
-    rows = rows.join(first, (F.col("block") == F.col("of_block")) & F.col("lead_text").isNull(), "left")
-    return rows.select("doc_id", "text", sketch, F.coalesce("lead_text", "head_text").alias("next_text"),
-                       F.coalesce("lead_sketch", "head_sketch").alias(f"next_{sketch}"))
+    rows = docs.withColumn("block", block_of(F.col("doc_id"))).select("doc_id", "text", F.lead("text").over(here).alias("next_text"))
+    ends = block_ends(docs.select("doc_id"))
+    wanted = ends.select("block", "last_id", F.explode(F.array(F.struct(F.lit(True).alias("last"), F.col("last_id").alias("id")), F.struct(F.lit(False).alias("last"), F.col("next_id").alias("id")))).alias("w"))
+    found = docs.join(wanted.select("block", "last_id", "w.last", "w.id"), F.col("doc_id").eqNullSafe(F.col("id")))
+    edges = found.groupBy("block").agg(F.first("last_id").alias("doc_id"), F.max(F.when(F.col("last"), F.col("text"))).alias("text"), F.min(F.when(~F.col("last"), F.col("text"))).alias("next_text"))
+    return rows.where("next_text is not null").union(edges.select("doc_id", "text", "next_text"))
+
+
+def fingerprint_edits(docs: DataFrame) -> DataFrame:
+    """For each row of docs (doc_id, text) its fingerprint, that of its edited text, and how near that and the next row's are.
+
+    The edited text has its last floor(n_chars / 4) code points replaced by as many of the next row's first, or all if it
+    has fewer. Null counts as empty; an empty text is its own edited text. Order, ties, null ids and repeats as in
+    with_next(); two texts without words are alike (1). Other columns are not read.
+    """
+    rows = with_next(docs.select("doc_id", text_or_empty().alias("text"))).withColumn("n_chars", F.length("text"))
+    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - cast(floor(n_chars / 4) as int)), substring(next_text, 1, cast(floor(n_chars / 4) as int)))"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    for text, sketch in (("text", "fp"), ("edited", "edited_fp"), ("next_text", "next_fp")):
+        rows = add_sketch(rows, text, sketch).drop(text)
+    rows = resemblance(resemblance(rows, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
+    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"),
+                       as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_or_empty().alias("text"))
-    rows = with_next(docs, "fp").withColumn("n_chars", F.length("text"))
-    part = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 4) as int))"),
-                      F.expr("substring(next_text, 1, cast(floor(n_chars / 4) as int))"))
-    rows = rows.withColumn("edited", F.when(part > 0, edited).otherwise(F.col("text"))).drop("text", "next_text")
-    rows = add_sketch(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fp").drop("edited")
-    rows = resemblance(rows, "fp", "edited_fp", "near_edited")
-    rows = resemblance(rows, "fp", "next_fp", "near_next")
-    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256",
-                       as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-                       "near_edited", "near_next")
+    return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
