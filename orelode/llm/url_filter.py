@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import ascii_lower
+from orelode.llm.common import ascii_lower, unused
 
 PREFIX_HEX = 8  # 4 bytes
 
@@ -34,7 +34,8 @@ def directory_of(path: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "rule_host string, rule_path string, action string")
+    rows = [F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(a).alias("action")) for h, p, a in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -43,7 +44,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     A rule fits its host and all subdomains if the URL's path starts with the rule's path. Of several, the longest rule
     (host and path together) wins, then the longer host, then block over allow. rule is null where none fits, verdict
     then is `default`. Null, empty and malformed URLs get empty host and path. Verdicts are found once for each distinct
-    URL, so repeated URLs cost one join row; pages keep all their rows.
+    URL, so repeated URLs cost one join row; pages keep all their rows and columns, but for columns named as the added ones.
+    Long URLs are read whole; empty tables of pages or rules are fine.
     """
     # Rules are numbered by their own text; clashing column names of pages can't reach these frames.
     known = rules.dropDuplicates().select(
@@ -74,11 +76,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     best = hits.groupBy("url").agg(F.max(F.struct(
         (F.length("rh") + F.length("rp")).alias("long"), F.length("rh").alias("host_long"),
         (F.col("action") == "block").alias("block"), F.concat("rh", "rp").alias("text"), "action")).alias("best"))
-    best = best.select(F.col("url").alias("url_"), F.col("best.text").alias("rule"), F.col("best.action").alias("act"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return (pages.select(*kept).join(best, F.col("url") == F.col("url_"), "left")
-            .select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule",
-                    F.coalesce("act", F.lit(default)).alias("verdict")))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    of, rule, action = unused(kept, "of", "rule", "action")
+    best = best.select(F.col("url").alias(of), F.col("best.text").alias(rule), F.col("best.action").alias(action))
+    return (pages.select(*kept).join(best, F.col("url") == F.col(of), "left")
+            .select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col(rule).alias("rule"),
+                    F.coalesce(action, F.lit(default)).alias("verdict")))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

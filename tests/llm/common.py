@@ -25,3 +25,8 @@ def odd(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def clash(docs, *names):
+    """docs with its extra columns from the sixth on renamed, to names that an operator may use itself."""
+    return docs.withColumnsRenamed(dict(zip(docs.columns[5:], names, strict=False)))

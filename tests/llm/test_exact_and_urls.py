@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from common import empty, odd, odd_rows
+from common import clash, empty, odd, odd_rows
 
 from orelode.llm.exact_dedup import DigestIndex, keep_one_of_each
 from orelode.llm.url_filter import judge, rule_table
@@ -33,11 +33,23 @@ def test_second_batch_is_judged_by_the_index(spark):
     assert index.read().count() == 3
     told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {index.name}").collect()}
     assert told["Num Buckets"] == "4" and told["Sort Columns"] == "[`digest`]"
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_two_halves_are_judged_as_one_table(spark):
+    rows = [(r[0], r[1] or "") for r in odd_rows()]
+    ids = {t: [i for i, u in rows if u == t and i is not None] for _, t in rows}
+    expected = [(i, max(ids[t], default=None), sum(u == t for _, u in rows), i == max(ids[t], default=None), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
+    found = DigestIndex(spark).deduplicate_whole(odd(spark)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+    assert DigestIndex(spark).deduplicate_whole(empty(spark)).count() == 0
 
 
 def test_kept_documents_have_all_columns(spark):
-    kept = keep_one_of_each(odd(spark))
-    assert kept.columns == odd(spark).columns
+    docs = clash(odd(spark), "digest", "win", "times", "DIGEST_")
+    kept = keep_one_of_each(docs)
+    assert kept.dtypes == docs.dtypes and {tuple(r[5:9]) for r in kept.collect()} == {("x", "y", "z", "w")}
     assert sorted(r.text or "" for r in kept.collect()) == sorted({r[1] or "" for r in odd_rows()})
     assert keep_one_of_each(empty(spark)).count() == 0
 
@@ -59,9 +71,9 @@ def plain(url):
 
 
 def test_urls_match_brute_force(spark):
-    pages = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(URLS)], "page_id bigint, url string, host string, short string, digest string")
+    pages = spark.createDataFrame([(i, u, "x", "y", "z", 1, 2) for i, u in enumerate(URLS)], "page_id bigint, url string, host string, of string, action string, act int, url_ int")
     found = judge(pages, rule_table(spark))
-    assert found.columns == ["page_id", "url", "short", "digest", "host", "path", "rule", "verdict"]
+    assert found.columns == ["page_id", "url", "of", "action", "act", "url_", "host", "path", "rule", "verdict"] and {tuple(r[2:6]) for r in found.collect()} == {("y", "z", 1, 2)}
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()} == {i: plain(u) for i, u in enumerate(URLS)}
     assert judge(pages.limit(0), rule_table(spark)).count() == 0
 
