@@ -15,14 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import text_or_empty, with_workers
+from orelode.llm.common import text_or_empty, unused, with_workers
 from orelode.llm.tokens import batches_of
 
 UNKNOWN = "und"
 SAMPLE = 1500  # training documents of each language, about; the bound of what the model is fitted on
-LEXICON = 40_000  # most frequent words of each language in that sample
 ROUNDS = 3
-LETTERS_CUT = 64  # words are scored in runs of so many letters, all of them
+LETTERS_CUT = 64  # longer words are fitted in runs of so many letters, all of them, and scored one by one
 MARK = "▁"
 PRIME = np.uint64(1_000_003)
 
@@ -108,7 +107,7 @@ class Model:
         order = np.argsort(piece_hash(pieces), kind="stable")
         self.languages, self.pieces, self.hashes = languages, [pieces[i] for i in order], piece_hash(pieces)[order]
         self.probs = np.vstack([probs[order], np.zeros((1, len(languages)))])
-        self.single, self.longest = single, max(map(len, pieces), default=1)
+        self.single, self.longest, self.table = single, max(map(len, pieces), default=1), None
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
@@ -150,14 +149,15 @@ class Model:
         return model
 
     def score_words(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language; an empty word has 0. Long words count in runs of letters, all of them."""
+        """Log probability of each word in each language; an empty word has 0."""
         out = np.zeros((len(words), len(self.languages)))
         texts, owner = [], []
         for i, w in enumerate(words):
-            if w:
-                w = MARK + w
-                texts += [w[j : j + LETTERS_CUT] for j in range(0, len(w), LETTERS_CUT)]
-                owner += [i] * (-(-len(w) // LETTERS_CUT))
+            if len(w) >= LETTERS_CUT:
+                out[i] = self.score_long(MARK + w)
+            elif w:
+                texts.append(MARK + w)
+                owner.append(i)
         if texts:
             owner = np.array(owner)
             for run in by_length(texts):
@@ -166,11 +166,29 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, vocab: str | None = None, sample: int = SAMPLE, lexicon: int = LEXICON) -> Model | None:
+    def score_long(self, word: str) -> np.ndarray:
+        """As score_words() for one word of any length: the last sums alone are held, and scaled as they become small."""
+        if self.table is None:
+            self.table = dict(zip(self.pieces, self.probs, strict=False))
+        last, logs = [np.ones(len(self.languages))], np.zeros(len(self.languages))
+        for stop in range(1, len(word) + 1):
+            total = np.zeros(len(self.languages))
+            for size in range(1, min(len(last), self.longest) + 1):
+                p = self.table.get(word[stop - size : stop], self.single if size == 1 else None)
+                if p is not None:
+                    total = total + last[-size] * p
+            last = [*last[-self.longest + 1 :], total] if self.longest > 1 else [total]
+            if stop % 16 == 0:
+                scale = np.maximum(np.max(last, axis=0), 1e-300)
+                last, logs = [x / scale for x in last], logs + np.log(scale)
+        return logs + np.log(np.maximum(last[-1], 1e-300))
+
+
+def train(docs: DataFrame, vocab: str | None = None, sample: int = SAMPLE) -> Model | None:
     """Fit on about `sample` labelled documents of each language that are not held out; None if there are none.
 
-    The sample is a fixed fraction by a hash of doc_id, taken in the scan; counting is distributed, and only `lexicon` words
-    of each language come to the driver.
+    The sample is a fixed fraction by a hash of doc_id, taken in the scan. Counting is distributed, and the counts of the
+    sample's different words, all of them, come to the driver: that many documents bound them.
     """
     spark = with_workers(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
@@ -189,12 +207,8 @@ def train(docs: DataFrame, vocab: str | None = None, sample: int = SAMPLE, lexic
                 table = table.filter(pc.not_equal(table["word"], "")).group_by(["lang", "word"]).aggregate([([], "count_all")])
                 yield from table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).combine_chunks().to_batches()
 
-    counts = part.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    rows = []
-    for language in sorted(sizes):
-        top = counts.where(F.col("lang") == language).orderBy(F.desc("n"), "word").limit(lexicon)
-        rows += [(r["word"], language, r["n"]) for r in top.select("word", "n").collect()]
-    counts.unpersist()
+    counts = part.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = sorted((r["word"], r["lang"], r["n"]) for r in counts.collect())
     return Model.fit(rows, vocabulary(vocab or default_vocabulary())) if rows else None
 
 
@@ -216,8 +230,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = held.value
         return pd.concat([_judge(m, texts.iloc[i : i + 2000]) for i in range(0, len(texts), 2000)] or [_judge(m, texts)])
 
-    rows = docs.withColumn("judged_", judge(text_or_empty()))
-    return rows.select(*docs.columns, "judged_.lang_pred", "judged_.score")
+    (judged,) = unused(docs.columns, "judged")
+    rows = docs.withColumn(judged, judge(text_or_empty()))
+    return rows.select(*docs.columns, F.col(judged)["lang_pred"].alias("lang_pred"), F.col(judged)["score"].alias("score"))
 
 
 def _judge(model: Model | None, texts):
@@ -239,8 +254,13 @@ def _judge(model: Model | None, texts):
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The documents whose language could be told: not `und`, and a score of at least `least`; columns as in docs."""
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    """The documents whose language could be told: not `und`, and a score of at least `least`; all columns as in docs.
+
+    Null texts and texts without letters go. Repeated rows stay or go together; an empty table stays empty.
+    """
+    told, score = unused(docs.columns, "told", "score")
+    judged = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).withColumnsRenamed({"lang_pred": told, "score": score})
+    return judged.where((F.col(told) != UNKNOWN) & (F.col(score) >= least)).select("row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
