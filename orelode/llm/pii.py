@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import with_workers
+from orelode.llm.common import unused, with_workers
 
-KINDS = ("email", "phone", "ip", "card", "iban", "secret", "name")
+KINDS = ("email", "phone", "ip", "card", "iban", "secret", "name", "ssn")
 KEY = b"orelode-surrogates"
 ROUNDS = 8
 
@@ -35,8 +35,8 @@ CLASSES = [
 DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 SIGNS = "!#$%&()*+-./:<=>?@[\\]^_`{|}~"  # of secrets without letters and digits
 
-# Titles before names and the gender that they tell; the title stays, and so does a given name's last letter.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Don": "m", "Doña": "f"}
+# Titles before names; the title stays.
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Don", "Doña"]
 
 SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key"
 # Texts without this match no rule. Arrow's word boundary knows ASCII only, so it stands beside titles alone; `ignore_case` holds for all.
@@ -47,9 +47,27 @@ IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])")
+SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")
 NAME = re.compile(r"\b(" + "|".join(TITLES) + r")(\.? )((?:[^\W\d_a-z][^\W\d_]+)(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")
 
 
+SHORTEST = 3  # letters of a name that is looked for without its title
+
+# Common given names by script and gender.
+GIVEN = {
+    ("latin", "f"): "anna maria sofia laura julia emma sarah lena clara marie claire camille lucia carmen elena isabel alice martha helen ruth nina eva paula petra monika sabine brigitte sophie chloe ines",
+    ("latin", "m"): "john peter paul thomas michael david james robert hans karl klaus stefan jan pierre jean louis henri antoine carlos juan pedro miguel luis pablo diego mark martin felix max georg",
+    ("cyrillic", "f"): "анна мария елена ольга ирина наталья светлана татьяна", ("cyrillic", "m"): "иван пётр алексей сергей дмитрий андрей михаил николай",
+    ("greek", "f"): "μαρία ελένη σοφία άννα κατερίνα", ("greek", "m"): "γιώργος νίκος δημήτρης κώστας γιάννης",
+}
+
+
+@lru_cache(1)
+def _lists() -> dict[str, list[str]]:
+    """For each listed given name the list that it is in."""
+    return {n: names.split() for names in GIVEN.values() for n in names.split()}
+
+
 def _plain(c: str) -> str:
     """A letter's lower-case form, if case can be put back without loss; otherwise the letter itself."""
     low = c.lower()
@@ -200,9 +218,27 @@ class Surrogates:
             new[i] = s[d]
         return "".join(new)
 
+    def ssn(self, text: str) -> str:
+        return self._letters("ssn", text, digits_of)
+
     def name(self, text: str) -> str:
-        """Word by word, so that a family name alone matches the full name; script, case, length and last letter stay."""
-        return re.sub(r"[^\W\d_]+", lambda m: self._letters("name", m[0], letters_of, {len(m[0]) - 1}), text)
+        """Word by word, so that a family name alone matches the full name.
+
+        A listed given name becomes another of its list, so its gender and script stay. Other words keep script, case,
+        length and last letter, and never become a listed name, so no two names fall together.
+        """
+        return re.sub(r"[^\W\d_]+", lambda m: self._word(m[0]), text)
+
+    def _word(self, word: str) -> str:
+        names = _lists().get(word.lower())
+        if names:
+            (at,) = self.shift(f"given|{names[0]}", [names.index(word.lower())], [len(names)]) if len(names) > 1 else (0,)
+            return names[at].upper() if word.isupper() and len(word) > 1 else names[at].capitalize()
+        new = word
+        while True:
+            new = self._letters("name", new, letters_of, {len(new) - 1})
+            if new.lower() not in _lists():
+                return new
 
     def of(self, kind: str, text: str) -> str:
         if (new := self.known.get((kind, text))) is None:
@@ -249,10 +285,17 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 add(*m.span(), "card")
         for m in IP.finditer(text):
             add(*m.span(), "ip")
+        for m in SSN.finditer(text):
+            add(*m.span(), "ssn")
         for m in PHONE.finditer(text):
             add(*m.span(), "phone")
+    told = set()
     for m in NAME.finditer(text):
         add(*m.span(3), "name")
+        told |= {w for w in re.findall(r"[^\W\d_]+", m[3]) if len(w) >= SHORTEST}
+    if told:  # the same names without a title, anywhere in the text
+        for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(told, key=lambda w: (-len(w), w)))) + r")(?![^\W_])", text):
+            add(*m.span(), "name")
     return sorted(spans)
 
 
@@ -287,8 +330,9 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> Data
 
     more = [f"n_{k}" for k in KINDS] if counts else []
     rest = [c for c in docs.columns if c not in more]
-    rows = docs.withColumn("judged_", judge(F.col("text").cast("string")))
-    return rows.select(*(F.col("judged_.text").alias("text") if c == "text" else F.col(c) for c in rest), *(f"judged_.{c}" for c in more))
+    (judged,) = unused(docs.columns, "judged")
+    rows = docs.withColumn(judged, judge(F.col("text").cast("string")))
+    return rows.select(*(F.col(judged)["text"].alias("text") if c == "text" else F.col(c) for c in rest), *(F.col(judged)[c].alias(c) for c in more))
 
 
 _made: dict[bytes, Surrogates] = {}
