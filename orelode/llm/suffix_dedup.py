@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.common import cut, text_or_empty, with_workers
+from orelode.llm.common import Scratch, cut, text_or_empty, tidied, with_workers
 
 LENGTH, ANCHOR = 400, 48
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -177,11 +177,15 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR):
         with_workers(docs.sparkSession)
+        self.scratch = Scratch(docs.sparkSession)
         self.length, self.anchor = length, min(anchor, length)
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
 
     def segments(self) -> DataFrame:
-        """Where each segment is: key, h1, h2 (its bytes), doc_id, th, start, windows."""
+        """Where each segment is: key, h1, h2 (its bytes), doc_id, th, start, windows.
+
+        Texts shorter than `length` have none, however many they are; each row of a repeated text has its own.
+        """
         length, anchor = self.length, self.anchor
         schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
@@ -267,10 +271,10 @@ class Repeats:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        blocks = cut(parts.select("key", "h1", "h2", "data").mapInArrow(run, "key bigint, h1 bigint, h2 bigint, core string, at int, hashes array<string>"), "blocks")
+        blocks = self.scratch.cut(parts.select("key", "h1", "h2", "data").mapInArrow(run, "key bigint, h1 bigint, h2 bigint, core string, at int, hashes array<string>"), "blocks")
         blocks = blocks.withColumn("content", F.md5(F.array_join("hashes", ",")))
         again = blocks.groupBy("key", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "core")
-        blocks = cut(blocks.join(again, ["key", "core"]), "cores")
+        blocks = self.scratch.cut(blocks.join(self.scratch.cut(again, "core-keys"), ["key", "core"]), "cores")
         same = blocks.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("hashes").alias("hashes"))
         twice = same.select("key", "n", F.explode("hashes").alias("w")).groupBy("key", "w").agg(F.sum("n").alias("n")).where("n > 1").select("key", "w")
         whole = blocks.join(same.where("n > 1").select("key", "content"), ["key", "content"]).select("key", "h1", "h2", F.array("at", F.col("at") + F.size("hashes")).alias("r"))
@@ -279,30 +283,34 @@ class Repeats:
         return whole.union(lone).groupBy("key", "h1", "h2").agg(F.flatten(F.sort_array(F.collect_list("r"))).alias("runs"))
 
     def spans(self) -> DataFrame:
-        """doc_id, th, spans: where windows that occur elsewhere start, as (first, past the last) in turn, for each text."""
-        length = self.length
-        placed = cut(self.segments(), "segments")
-        again = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        placed = cut(placed.join(again, "key", "left_semi"), "again")
+        """doc_id, th, spans: where windows that occur elsewhere start, as (first, past the last) in turn, for each text.
+
+        What is joined with rows of a hot key is written before, so that Spark can split the rows of that key.
+        """
+        length, scratch = self.length, self.scratch
+        placed = scratch.cut(self.segments(), "segments")
+        again = scratch.cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+        placed = scratch.cut(placed.join(again, "key", "left_semi"), "again")
+        scratch.drop("segments", "keys")
         kinds = placed.groupBy("key", "h1", "h2").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("of"), F.first("windows").alias("windows"))
-        kinds = cut(kinds, "kinds")
-        many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        kinds = scratch.cut(kinds, "kinds")
+        many = scratch.cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "many")
         mixed = kinds.join(many, "key")
         need = mixed.groupBy(F.col("of.doc_id").alias("d"), F.col("of.th").alias("t")).agg(F.collect_list(F.struct("key", "h1", "h2", "kinds", "of.start", "windows")).alias("s"))
-        # Texts are dealt once, for the segments' bytes here and for the result.
-        self.dealt = self.docs.repartition("doc_id", "th")
-        cutter = self.dealt.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("s", F.encode("text", "UTF-8").alias("raw"))
+        cutter = self.docs.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("s", F.encode("text", "UTF-8").alias("raw"))
         parts = (cutter.select("raw", F.explode("s").alias("s")).select("s.*", F.expr(f"substring(raw, s.start + 1, s.windows + {length - 1})").alias("data"))
                  .select("key", "h1", "h2", "data", "kinds"))
-        parts = cut(parts, "parts")
+        parts = scratch.cut(parts, "parts")
         found = self.sorted_parts(parts.where(F.col("kinds") <= KINDS))
         hot = parts.where(F.col("kinds") > KINDS)
         if not hot.isEmpty():
             found = found.union(self.dealt_windows(hot))
         copies = kinds.where("n > 1").select("key", "h1", "h2", F.array(F.lit(0), F.col("windows")).alias("runs"))
+        found = scratch.cut(found, "found")
+        scratch.drop("parts", "blocks", "cores", "core-keys", "many")
         single = found.join(kinds.where("n = 1").select("key", "h1", "h2"), ["key", "h1", "h2"])
-        marks = copies.union(single.select("key", "h1", "h2", "runs"))
+        marks = scratch.cut(copies.union(single.select("key", "h1", "h2", "runs")), "marks")
         where = placed.join(marks, ["key", "h1", "h2"]).select("doc_id", "th", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
         return where.groupBy("doc_id", "th").agg(F.flatten(F.sort_array(F.collect_set("runs"))).alias("spans"))
 
@@ -333,8 +341,10 @@ class Repeats:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        spans = self.spans().withColumnsRenamed({"doc_id": "d", "th": "t"})
-        rows = self.dealt.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+        with tidied(self.docs.sparkSession):
+            spans = cut(self.spans(), "repeats").withColumnsRenamed({"doc_id": "d", "th": "t"})
+        self.scratch.close()
+        rows = self.docs.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
         rows = rows.select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
         return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
