@@ -92,7 +92,7 @@ def sketched(docs: DataFrame, k: int = K, width: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, 4_000_000):
+            for batch in batches_of(whole, 1_000_000):
                 sets = shingle_sets(batch.column(2), width)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
@@ -204,9 +204,11 @@ def near_in_block(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
     others are given if the sketch of their union lets them be links. A pair is looked at in the list of its smallest
     common posted value only, and two outer ones once.
     """
-    cid, root, whole = (np.array(rows[c].to_pylist()) for c in ("cid", "root", "whole"))
-    outer, inner = (np.array(rows[c].to_pylist(), dtype=bool) for c in ("outer", "inner"))
-    sketch = [np.array(x, dtype=np.int64) for x in rows["sketch"].to_pylist()]
+    cid, root = (rows[c].to_numpy() for c in ("cid", "root"))
+    whole, outer, inner = (np.array(rows[c].to_pylist(), dtype=bool) for c in ("whole", "outer", "inner"))
+    lists = rows["sketch"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sketch = np.split(lists.flatten().to_numpy(), (np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())) if len(lists) else []
     out: list[tuple] = []
     y, x = np.flatnonzero(outer), np.flatnonzero(~outer)
     if len(y) and len(x):
@@ -219,7 +221,7 @@ def near_in_block(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
             size[i] += np.searchsorted(sketch[j], part[i], "right")
         for i, j in enumerate(x.tolist()):
             size[:, i] += np.searchsorted(sketch[j], part[:, i], "right")
-        exact = whole[y].astype(bool)[:, None] & whole[x].astype(bool)[None, :]
+        exact = whole[y][:, None] & whole[x][None, :]
         p = percent / 100
         near = np.where(exact, 100 * both >= percent * size, both >= size * (p - SIGMAS * np.sqrt(p * (1 - p) / np.maximum(size, 1))))
         near &= (both > 0) & (root[y][:, None] != root[x][None, :]) & (inner[x][None, :] | (cid[x][None, :] > cid[y][:, None]))
@@ -361,7 +363,7 @@ class NearDuplicates:
 
         def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in batches_of(whole, 4_000_000):
+                for batch in batches_of(whole, 1_000_000):
                     sets = shingle_sets(batch.column(1), width)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) <= WIDE for s in sets], pa.bool_()),
                                                       pa.array([(s[:WIDE] ^ TOP).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cid", "whole", "sketch"])
