@@ -19,7 +19,7 @@ from orelode.llm.common import text_or_empty, unused, with_workers
 from orelode.llm.tokens import batches_of
 
 UNKNOWN = "und"
-SAMPLE = 1500  # training documents of each language, about; the bound of what the model is fitted on
+SAMPLE = 400  # training documents of each language, about; the bound of what the model is fitted on
 ROUNDS = 3
 LETTERS_CUT = 64  # longer words are fitted in runs of so many letters, all of them, and scored one by one
 MARK = "▁"
