@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orelode.functions.text import context_label, overlap
 
 
+MOST_QUERIES = 4096  # that are sent to every task
+
+
 def metadata_filter(sources=None, items=None, types=None) -> Column | None:
     """All given clauses together; items below 1 are left out, and a clause without values says nothing."""
     items = [i for i in items or [] if i > 0]
@@ -28,15 +36,46 @@ def over_fetch(k: int, count: int) -> int:
 def nearest(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each query (query_id, query) its k nearest chunks: query_id, dist, fetch_rank and all columns of chunks.
 
-    Every query meets every chunk, blockwise and without a shuffle of chunks if the query set is small; only k rows of each
-    query leave a task. chunks has id and embedding.
+    chunks has id and embedding; chunks without one are never near. Up to MOST_QUERIES queries go to the tasks, which
+    compare whole batches of vectors and pass on k rows of each query and those as far as the last of them. More queries
+    meet the chunks by a cross join; then, too, only k rows of each leave a task. Both give the same.
     """
-    both = chunks.crossJoin(queries.select("query_id", "query"))
-    both = both.withColumn("dist", squared_distance(F.col("embedding"), F.col("query"))).drop("query")
+    few = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
+    if len(few) > MOST_QUERIES:
+        both = chunks.crossJoin(queries.select("query_id", "query"))
+        both = both.withColumn("dist", squared_distance(F.col("embedding"), F.col("query"))).drop("query").where("dist is not null")
+    else:
+        both = _near_in_batches(chunks, few, queries.schema["query_id"].dataType, k)
     w = Window.partitionBy("query_id").orderBy("dist", "id")
     return both.withColumn("fetch_rank", F.row_number().over(w)).where(F.col("fetch_rank") <= k)
 
 
+def _near_in_batches(chunks: DataFrame, queries: list, kind: T.DataType, k: int) -> DataFrame:
+    ids, vectors = [q[0] for q in queries], np.array([q[1] for q in queries], dtype=np.float64)
+    place, id_type = chunks.columns.index("embedding"), to_arrow_type(kind)
+    schema = T.StructType([*chunks.schema.fields, T.StructField("query_id", kind), T.StructField("dist", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(place).is_valid())
+            if not batch.num_rows or not ids:
+                continue
+            data = batch.column(place).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            rows, of, far = [], [], []
+            for i, v in enumerate(vectors):
+                d = np.square(data - v).sum(1)
+                last = np.partition(d, k - 1)[k - 1] if k < len(d) else np.inf
+                at = np.flatnonzero(d <= last)
+                rows.append(at)
+                of += [i] * len(at)
+                far.append(d[at])
+            out = batch.take(pa.array(np.concatenate(rows)))
+            told = pa.array(ids, id_type).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*out.columns, told, pa.array(np.concatenate(far))], names=[*batch.schema.names, "query_id", "dist"])
+
+    return chunks.mapInArrow(run, schema)
+
+
 def reranked(hits: DataFrame, words: Column, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query by keyword overlap, tables two higher, then distance, then rank of the fetch."""
     score = overlap(F.col("text"), words) + F.when(F.col("type") == "table", 2).otherwise(0)

@@ -191,5 +191,8 @@ def test_report_scan_and_ingest(spark, tmp_path):
     docs = spark.createDataFrame([("x", "1"), ("y", "2")], "source string, text string")
     known = ingest.manifest_of(docs)
     assert [r.source for r in ingest.changed(ingest.manifest_of(docs.withColumn("text", F.when(F.col("source") == "y", "3").otherwise(F.col("text")))), known).collect()] == ["y"]
-    table.delete(["x"])
-    assert [r.source for r in spark.read.parquet(str(tmp_path / "chunks")).collect()] == ["y"]
+    spark.createDataFrame([("x", 2, "second page"), ("y", 1, " "), ("a=b/c", 1, "odd name")], schema).write.parquet(str(folder / "3"))
+    ingest.ingest_stream(spark, str(folder / "*"), schema, table, str(tmp_path / "ck"))
+    assert sorted((r.source, r.page, r.text) for r in table.read().collect()) == [("a=b/c", 1, "odd name"), ("x", 1, "changed"), ("x", 2, "second page")]
+    table.delete(["a=b/c", "nowhere"])
+    assert sorted(r.page for r in table.read().collect()) == [1, 2] and table.read().columns == ["source", "page", "chunk", "text", "type", "chunk_id"]
