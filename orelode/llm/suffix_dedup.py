@@ -167,7 +167,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
 
 
-BLOCK = 400_000  # bytes whose suffixes are sorted together
+BLOCK = 250_000  # bytes whose suffixes are sorted together
 KINDS = 512  # different segments of one anchor that are still sorted together
 STEP = 8  # windows that hot segments are dealt by
 
@@ -193,7 +193,7 @@ class Repeats:
             from orelode.llm.tokens import batches_of
 
             for whole in batches:
-                for batch in batches_of(whole, 2_000_000):
+                for batch in batches_of(whole, 700_000):
                     text = batch.column(2).cast(pa.large_binary())
                     data = np.frombuffer(b"".join(text.to_pylist()), dtype=np.uint8)
                     bounds = np.concatenate([[0], np.cumsum([len(x) for x in text.to_pylist()])]).astype(np.int64)
