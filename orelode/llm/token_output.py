@@ -133,24 +133,31 @@ def packed(docs: DataFrame, size: int = WINDOW, tokenizer: str | None = None, en
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:
-    """Write the matrix and its index to a folder of Parquet files, zstd-compressed; any file system that Spark knows."""
+    """Write the matrix and its index to a folder of Parquet files, zstd-compressed; any file system that Spark knows.
+
+    Null, empty, long and repeated rows as in packed(); an empty table is a folder without rows.
+    """
     packed(docs, **options).write.option("compression", "zstd").parquet(path)
 
 
 def segments(matrix: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row for each segment of a written matrix, with the CRC-32 of its stored ids and whether its positions restart at 0."""
+    """One row for each segment of a written matrix, with the CRC-32 of its stored ids and whether its positions restart at 0.
+
+    Widths of ids and positions are told by the rows themselves. Repeated rows and null doc_ids stay; an empty matrix has none.
+    """
     n = F.size("doc_ids")
     each = F.explode(F.arrays_zip(
         F.col("doc_ids").alias("doc_id"), F.col("starts").alias("start"), F.col("doc_tokens").alias("doc_tokens"),
         F.slice("cu_seqlens", 1, n).alias("offset"), F.slice("cu_seqlens", F.lit(2), n).alias("stop"))).alias("s")
     width = F.expr(f"cast(length(input_ids) / {size} as int)")
-    rows = matrix.select("sequence_id", "input_ids", "position_ids", width.alias("width"), each)
-    rows = rows.select("sequence_id", "input_ids", "position_ids", "width", "s.*")
+    place = F.expr(f"cast(length(position_ids) / {size} as int)")
+    rows = matrix.select("sequence_id", "input_ids", "position_ids", width.alias("width"), place.alias("place"), each)
+    rows = rows.select("sequence_id", "input_ids", "position_ids", "width", "place", "s.*")
     return rows.select(
         "doc_id", "start", F.expr("cast(stop - offset as bigint)").alias("length"), "doc_tokens", "sequence_id",
         F.col("offset").cast("bigint").alias("offset"),
         F.expr("crc32(substring(input_ids, offset * width + 1, (stop - offset) * width))").alias("ids_crc32"),
-        F.expr("hex(substring(position_ids, offset * 2 + 1, 2)) = '0000'").alias("restarts"))
+        F.expr("hex(substring(position_ids, offset * place + 1, place)) = repeat('00', place)").alias("restarts"))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
