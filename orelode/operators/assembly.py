@@ -47,18 +47,23 @@ class ModelInputs:
     notes: DataFrame  # kind, subject, n
 
 
-def placed(rows: DataFrame, collars: DataFrame, traces: DataFrame) -> DataFrame:
-    """rows (hole_id, md, surface) on the traces of the holes that their ids mean."""
+def matched(rows: DataFrame, collars: DataFrame, traces: DataFrame) -> DataFrame:
+    """rows (hole_id, md, surface) with `hole`, the hole with a trace that their id means, or null."""
     known = collars.join(traces.select("hole_id").distinct(), "hole_id", "left_semi")
-    matched = drill.match_holes(rows, known.select("hole_id", "ord")).where("hole is not null")
-    return drill.positions(matched.select(F.col("hole").alias("hole_id"), "md", "surface"), traces)
+    return drill.match_holes(rows, known.select("hole_id", "ord"))
 
 
-def surface_points(spatial: Spatial, traces: DataFrame, envelope_units: list[str] = ()) -> DataFrame:
-    """x, y, z, surface, hole_id, source: contacts, tops and bases of the wanted units, and digitised points."""
-    found = placed(drill.contacts(spatial.intervals), spatial.collars, traces).withColumn("source", F.lit("contact"))
+def placed(rows: DataFrame, traces: DataFrame) -> DataFrame:
+    """matched() rows on the traces of their holes."""
+    return drill.positions(rows.where("hole is not null").select(F.col("hole").alias("hole_id"), "md", "surface"), traces)
+
+
+def surface_points(spatial: Spatial, contacts: DataFrame, traces: DataFrame, envelope_units: list[str] = ()) -> DataFrame:
+    """x, y, z, surface, hole_id, source: matched contacts, tops and bases of the wanted units, and digitised points."""
+    found = placed(contacts, traces).withColumn("source", F.lit("contact"))
     if envelope_units:
-        found = found.unionByName(placed(drill.envelopes(spatial.intervals, list(envelope_units)), spatial.collars, traces).withColumn("source", F.lit("envelope")))
+        ends = matched(drill.envelopes(spatial.intervals, list(envelope_units)), spatial.collars, traces)
+        found = found.unionByName(placed(ends, traces).withColumn("source", F.lit("envelope")))
     d = spatial.digitised.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & (F.coalesce("surface_name", F.lit("")) != ""))
     d = d.select("x", "y", "z", F.trim("surface_name").alias("surface"), F.lit(None).cast("string").alias("hole_id"), F.coalesce(F.nullif("source", F.lit("")), F.lit("digitized cross-section")).alias("source"))
     return found.select("x", "y", "z", "surface", "hole_id", "source").unionByName(d)
@@ -82,15 +87,15 @@ def derived_orientations(points: DataFrame, series: DataFrame, given: DataFrame)
     return best.select("x", "y", "z", F.round("dip", 2).alias("dip"), F.round("dip_direction", 2).alias("dip_direction"), "surface", F.lit(1).alias("polarity"), told.alias("source"))
 
 
-def notes(spatial: Spatial, points: DataFrame, series: DataFrame, traces: DataFrame) -> DataFrame:
+def notes(spatial: Spatial, points: DataFrame, series: DataFrame, contacts: DataFrame) -> DataFrame:
     """kind, subject, n of what was left out: few points, pile units and orientations without a surface, unmatched holes, faults."""
     note = lambda rows, kind, subject, n=F.lit(None): rows.select(F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), n.cast("bigint").alias("n"))
     counted = points.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
     low = series.select(F.lower("surface").alias("low_"))
     unit = F.trim("unit")
-    known = spatial.collars.join(traces.select("hole_id").distinct(), "hole_id", "left_semi")
-    missed = drill.match_holes(drill.contacts(spatial.intervals), known.select("hole_id", "ord")).where("hole is null")
-    ids = missed.agg(F.array_join(F.slice(F.array_sort(F.collect_set("hole_id")), 1, 8), ", ").alias("ids"), F.countDistinct("hole_id").alias("n")).where("n > 0")
+    missed = contacts.where("hole is null and hole_id is not null").select("hole_id").distinct()
+    first = missed.orderBy("hole_id").limit(8).agg(F.array_join(F.array_sort(F.collect_list("hole_id")), ", ").alias("ids"))
+    ids = first.crossJoin(missed.agg(F.count(F.lit(1)).alias("n"))).where("n > 0")
     named = spatial.orientations.where(F.trim("surface_name") != "").join(low, F.lower(F.trim("surface_name")) == F.col("low_"), "left_anti")
     placeless = spatial.orientations.join(low, F.lower(F.trim("surface_name")) == F.col("low_"), "left_semi").where(" or ".join(f"{c} is null" for c in ("x", "y", "z", "dip", "dip_direction")))
     orphans = series.join(spatial.pile.select(F.lower(unit).alias("low_")), F.lower("surface") == F.col("low_"), "left_anti")
@@ -106,10 +111,11 @@ def notes(spatial: Spatial, points: DataFrame, series: DataFrame, traces: DataFr
 def assemble(spatial: Spatial, envelope_units: list[str] = (), check: bool = True) -> ModelInputs:
     """All inputs of a model. With check, two points for no surface, or a series without an orientation, are errors.
 
-    Traces and points are kept, as everything else is made of them; what is lost is computed again.
+    Traces, matched contacts and points are kept, as everything else is made of them; what is lost is computed again.
     """
     traces = drill.stations(spatial.surveys, spatial.collars).persist()
-    found = surface_points(spatial, traces, envelope_units).persist()
+    contacts = matched(drill.contacts(spatial.intervals), spatial.collars, traces).persist()
+    found = surface_points(spatial, contacts, traces, envelope_units).persist()
     points = drill.supported(found)
     means = points.groupBy("surface").agg(F.avg("z").alias("mean_z"))
     series = drill.series_order(spatial.pile, means)
@@ -124,7 +130,7 @@ def assemble(spatial: Spatial, envelope_units: list[str] = (), check: bool = Tru
         if names:
             raise ValueError(f"series without an orientation or a plane: {', '.join(names)}; give a default orientation")
     around = points.select("x", "y", "z").unionByName(traces.select("x", "y", "z"))
-    return ModelInputs(points, both, series, drill.extent(around), traces, notes(spatial, found, series, traces))
+    return ModelInputs(points, both, series, drill.extent(around), traces, notes(spatial, found, series, contacts))
 
 
 def meta(inputs: ModelInputs, document: DataFrame, resolution: int) -> DataFrame:

@@ -33,16 +33,24 @@ def stations(surveys: DataFrame, collars: DataFrame) -> DataFrame:
 
     Rows without depth or dip are left out; a missing azimuth is carried on, or that of the collar. A station at depth 0
     and one at total depth are added where missing. Holes need an id, x and y; a missing z is 0, a missing dip vertical.
+    Of collars with one id the last counts, by their column `ord` if they have it: a hole has one trace. Surveys and
+    collars meet in one shuffle by hole.
     """
     c = collars.where((F.trim("hole_id") != "") & F.col("x").isNotNull() & F.col("y").isNotNull())
-    c = c.select("hole_id", "x", "y", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("azimuth", F.lit(0.0)).alias("caz"), F.coalesce("dip", F.lit(-90.0)).alias("cdip"), "total_depth")
-    s = surveys.where(F.col("depth_m").isNotNull() & F.col("dip").isNotNull()).select("hole_id", F.col("ord").cast("int").alias("ord"), F.col("depth_m").alias("md"), "azimuth", "dip")
+    collar = F.struct("x", "y", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("azimuth", F.lit(0.0)).alias("caz"), F.coalesce("dip", F.lit(-90.0)).alias("cdip"), "total_depth")
+    place = F.struct(*([F.col("ord").cast("bigint")] if "ord" in c.columns else []), "x", "y", collar.alias("rest"))
+    c = c.groupBy("hole_id").agg(F.max_by(collar, place).alias("c"))
+    s = surveys.where(F.col("depth_m").isNotNull() & F.col("dip").isNotNull()).select("hole_id", F.col("ord").cast("int").alias("ord"), F.col("depth_m").alias("md"), "azimuth", "dip", F.lit(False).alias("is_collar"))
+    both = s.unionByName(c.select("hole_id", "c", F.lit(True).alias("is_collar")), allowMissingColumns=True)
+    every = Window.partitionBy("hole_id")
+    both = both.select("hole_id", "ord", "md", "azimuth", "dip", "is_collar", F.max("c").over(every).alias("c"), F.min("md").over(every).alias("first"), F.max("md").over(every).alias("last"),
+                       F.max_by("dip", F.when(~F.col("is_collar"), F.struct("md", "ord"))).over(every).alias("ldip")).where("c is not null")
+    station = lambda ord_, md, azimuth, dip: F.struct(F.lit(ord_).cast("int").alias("ord"), md.cast("double").alias("md"), azimuth.cast("double").alias("azimuth"), dip.cast("double").alias("dip"))
+    top = F.when(F.col("first").isNull() | (F.col("first") > 1e-9), station(-1, F.lit(0.0), F.col("c.caz"), F.col("c.cdip")))
+    tail = F.when(F.col("c.total_depth") > F.coalesce("last", F.lit(0.0)) + 1e-9, station(2**30, F.col("c.total_depth"), F.lit(None), F.coalesce("ldip", "c.cdip")))
+    own = F.array(F.struct(F.col("ord"), F.col("md").cast("double").alias("md"), F.col("azimuth").cast("double").alias("azimuth"), F.col("dip").cast("double").alias("dip")))
+    rows = both.select("hole_id", "c.*", F.explode(F.when(F.col("is_collar"), F.array_compact(F.array(top, tail))).otherwise(own)).alias("s")).select("hole_id", "x", "y", "z", "caz", "s.*")
     w = Window.partitionBy("hole_id").orderBy("md", "ord")
-    have = s.groupBy("hole_id").agg(F.min("md").alias("first"), F.max("md").alias("last"), F.max_by("dip", F.struct("md", "ord")).alias("ldip"))
-    ends = c.join(have, "hole_id", "left")
-    top = ends.where(F.col("first").isNull() | (F.col("first") > 1e-9)).select("hole_id", F.lit(-1).alias("ord"), F.lit(0.0).alias("md"), F.col("caz").alias("azimuth"), F.col("cdip").alias("dip"))
-    tail = ends.where(F.col("total_depth") > F.coalesce("last", F.lit(0.0)) + 1e-9).select("hole_id", F.lit(2**30).alias("ord"), F.col("total_depth").alias("md"), F.lit(None).cast("double").alias("azimuth"), F.coalesce("ldip", "cdip").alias("dip"))
-    rows = s.unionByName(top).unionByName(tail).join(c, "hole_id")
     rows = rows.withColumn("azimuth", F.coalesce(F.last("azimuth", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("caz")))
     rows = rows.select("*", F.lag("md").over(w).alias("m0"), F.lag("azimuth").over(w).alias("a0"), F.lag("dip").over(w).alias("d0"))
     moved = step(F.col("md") - F.col("m0"), F.col("a0"), F.col("d0"), F.col("azimuth"), F.col("dip"))
@@ -95,8 +103,10 @@ def match_holes(rows: DataFrame, holes: DataFrame) -> DataFrame:
     """rows with `hole`, the id of holes (hole_id, ord) that theirs means: equal ids first (the last), else canonical ones (the first)."""
     exact = holes.groupBy(hole_id(F.col("hole_id")).alias("e_")).agg(F.max_by("hole_id", "ord").alias("exact_"))
     canon = holes.groupBy(canonical_hole_id(F.col("hole_id")).alias("c_")).agg(F.min_by("hole_id", "ord").alias("canon_"))
-    out = rows.join(exact, hole_id(rows["hole_id"]) == F.col("e_"), "left").join(canon, canonical_hole_id(rows["hole_id"]) == F.col("c_"), "left")
-    return out.select(*(rows[c] for c in rows.columns), F.coalesce("exact_", "canon_").alias("hole"))
+    # Keys are columns, as a sort by an expression would compute it at every comparison.
+    out = rows.withColumn("re_", hole_id(F.col("hole_id"))).withColumn("rc_", canonical_hole_id(F.col("hole_id")))
+    out = out.join(exact, F.col("re_") == F.col("e_"), "left").join(canon, F.col("rc_") == F.col("c_"), "left")
+    return out.select(*rows.columns, F.coalesce("exact_", "canon_").alias("hole"))
 
 
 def supported(points: DataFrame, least: int = 2) -> DataFrame:
